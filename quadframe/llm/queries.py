@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash_dedup
+from . import packing, simhash_dedup, token_output
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +15,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash,)}
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_docs(spark, sf_dir))
+
+
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.encode_and_read(_docs(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_packing, op5_token_output)}
 ORACLES: dict[str, str] = {}
