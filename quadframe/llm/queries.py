@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash_dedup, token_output
+from . import mixing, packing, simhash_dedup, token_output
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,5 +23,9 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.encode_and_read(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_packing, op5_token_output)}
-ORACLES: dict[str, str] = {}
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_docs(spark, sf_dir))[0].select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_packing, op5_token_output, op7_mixing)}
+ORACLES = {"op7_mixing": mixing.ORACLE}
