@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, simhash_dedup, token_output
+from . import mixing, packing, simhash_dedup, suffix_dedup, token_output
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_docs(spark, sf_dir))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(_docs(spark, sf_dir))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir))
 
@@ -27,5 +31,5 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_docs(spark, sf_dir))[0].select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_packing, op5_token_output, op7_mixing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_packing, op5_token_output, op7_mixing)}
 ORACLES = {"op7_mixing": mixing.ORACLE}
