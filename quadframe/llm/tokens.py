@@ -11,14 +11,20 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
-import numpy as np
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("ids are kept as little-endian 32-bit integers")
 
 #: Chunks in the newer of the two generations that one worker remembers; when full, the older is dropped.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 600_000
 _LETTER = "A-Za-zÀ-ÖØ-öø-įı-ɏ"  # without İ, whose lower case holds a mark
-_CHUNK = re.compile(rf"\s*[{_LETTER}]+(?=[\s.,:;!?|#$%&*]|\Z)|[.,:;!?|#$%&*]+(?=\s|\Z)|\s*\S+|\s+")
+_MARKS = r".,:;!?|#$%&*"
+_CHUNK = re.compile(rf"\s*[{_LETTER}]+(?=[\s{_MARKS}]|\Z)|[{_MARKS}]+(?=\s|\Z)|\s*\S+|\s+")
+_CHUNK_WITHOUT_SPACE = re.compile(rf"[{_LETTER}]+(?=[\s{_MARKS}]|\Z)|[{_MARKS}]+(?=\s|\Z)|\S+")
 _ODD = re.compile(r"[\x00-\x08\x0b-\x1f\x7f-\x9f]|<\|")
+_BEYOND = re.compile(r"[^\t\n -įı-ɏ]")
 
 
 class Encoder:
@@ -30,27 +36,36 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.drops_space = self.tokenizer.encode("a b", add_special_tokens=False).ids == self.tokenizer.encode(" A\n\tb ", add_special_tokens=False).ids
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         if _ODD.search(text):
             return self.whole(text)
-        cache, old, chunks = self.cache, self.old, _CHUNK.findall(text)
-        if missing := [c for c in set(chunks) if c not in cache]:
-            if len(cache) > CACHE_CHUNKS:
-                self.old = old = cache
-                self.cache = cache = {}
-                missing = list(set(chunks))
-            new = [c for c in missing if c not in old]
-            cache.update((c, old[c]) for c in missing if c in old)
-            if new:
-                cache.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)))
+        if not self.drops_space:
+            chunks = _CHUNK.findall(text)
+        else:  # it also folds case; where every letter is a simple one, fold first, for fewer chunks
+            chunks = _CHUNK_WITHOUT_SPACE.findall(text if _BEYOND.search(text) else text.lower())
+        parts = list(map(self.cache.get, chunks))
+        try:
+            return b"".join(parts)
+        except TypeError:
+            pass
+        missing = list({c for c, p in zip(chunks, parts) if p is None})
+        if len(self.cache) > CACHE_CHUNKS:
+            self.cache, self.old = {}, self.cache
+            missing = list(set(chunks))
+        cache, old = self.cache, self.old
+        cache.update((c, old[c]) for c in missing if c in old)
+        if new := [c for c in missing if c not in cache]:
+            encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+            cache.update((c, array("I", e.ids).tobytes()) for c, e in zip(new, encoded))
         return b"".join([cache[c] for c in chunks])
 
 
