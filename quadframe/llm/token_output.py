@@ -29,28 +29,28 @@ END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
 
 
-def file_schema(sequence: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
+def file_schema(sequence: int, id_type: pa.DataType) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(id_type, sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
 
 
 class Writer:
-    """Appends ids to one file, a full batch at a time."""
+    """Appends ids (little-endian 32-bit integers) to one file, a full batch at a time."""
 
-    def __init__(self, uri: str, sequence: int = SEQUENCE, batch_sequences: int = BATCH_SEQUENCES):
+    def __init__(self, uri: str, sequence: int = SEQUENCE, batch_sequences: int = BATCH_SEQUENCES, id_bits: int = 16):
         self.fs, self.path = pafs.FileSystem.from_uri(uri)
         self.part = f"{self.path}.{uuid.uuid4().hex}.tmp"
         self.sequence, self.full, self.held, self.n = sequence, sequence * batch_sequences, bytearray(), 0
+        self.id_type = pa.uint16() if id_bits == 16 else pa.uint32()
         self.fs.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
         self.sink = self.fs.open_output_stream(self.part)
-        self.schema = file_schema(sequence)
+        self.schema = file_schema(sequence, self.id_type)
         self.file = pa.ipc.new_file(self.sink, self.schema)
 
     def _flush(self, size: int, used: int) -> None:
-        data = bytes(self.held[: 4 * used]) + bytes(4 * (size - used))
-        mask = np.zeros(size, np.uint8)
-        mask[:used] = 1
-        columns = [pa.FixedSizeListArray.from_arrays(pa.Array.from_buffers(pa.uint32(), size, [None, pa.py_buffer(data)]), self.sequence), pa.FixedSizeListArray.from_arrays(pa.array(mask), self.sequence)]
-        self.file.write_batch(pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, self.schema)], schema=self.schema))
+        ids = np.zeros(size, self.id_type.to_pandas_dtype())
+        ids[:used] = np.frombuffer(bytes(self.held[: 4 * used]), "<u4")
+        columns = (pa.array(ids), pa.array(np.arange(size) < used))
+        self.file.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(c, type=f.type) for c, f in zip(columns, self.schema)], schema=self.schema))
         del self.held[: 4 * used]
 
     def add(self, ids: bytes) -> None:
@@ -77,15 +77,14 @@ class Reader:
         self.sequence = self.file.schema.field("ids").type.list_size
         self.batch_rows = self.file.get_batch(0).num_rows if self.file.num_record_batches else 0
 
-    def _values(self, column: str, k: int) -> np.ndarray:
-        array = self.file.get_batch(k).column(self.file.schema.get_field_index(column))
-        return array.values.to_numpy(zero_copy_only=True)
+    def _values(self, column: str, k: int) -> pa.Array:
+        return self.file.get_batch(k).column(self.file.schema.get_field_index(column)).values
 
-    def sequence_at(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence_at(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """Ids and mask of sequence i, without a copy."""
         k, at = divmod(i, self.batch_rows)
-        cut = slice(at * self.sequence, (at + 1) * self.sequence)
-        return self._values("ids", k)[cut], self._values("mask", k)[cut]
+        ids = self._values("ids", k).to_numpy(zero_copy_only=True)[at * self.sequence : (at + 1) * self.sequence]
+        return ids, self._values("mask", k).slice(at * self.sequence, self.sequence)
 
     def crc32(self, start: int, n: int) -> int:
         """crc32 of ids start .. start + n - 1 as little-endian 32-bit integers."""
@@ -93,7 +92,8 @@ class Reader:
         while n > 0:
             k, at = divmod(start, size)
             take = min(n, size - at)
-            crc = zlib.crc32(np.ascontiguousarray(self._values("ids", k)[at : at + take], "<u4"), crc)
+            ids = self._values("ids", k).to_numpy(zero_copy_only=True)[at : at + take]
+            crc = zlib.crc32(ids.astype("<u4"), crc)
             start, n = start + take, n - take
         return crc
 
@@ -105,11 +105,12 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
     schema = pa.schema([("doc_id", pa.int64()), ("file", pa.int32()), ("at", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, out = tokens.encoder(vocabulary).encode, TaskContext.get().partitionId(), None
+        encoder, task, out = tokens.encoder(vocabulary), TaskContext.get().partitionId(), None
+        encode, bits = encoder.encode, 16 if max(encoder.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else 32
         for b in batches:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                out = out or Writer(f"{folder}/{task:06d}.arrow", sequence)
+                out = out or Writer(f"{folder}/{task:06d}.arrow", sequence, id_bits=bits)
                 ids = encode(text.as_py() or "") + end
                 rows.append((doc, task, out.n, len(ids) // 4))
                 out.add(ids)
