@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, simhash_dedup, suffix_dedup, token_output
+from . import mixing, packing, simhash_dedup, suffix_dedup, token_output, vector_dedup
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,5 +31,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_docs(spark, sf_dir))[0].select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_packing, op5_token_output, op7_mixing)}
-ORACLES = {"op7_mixing": mixing.ORACLE}
+def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_packing, op5_token_output, op7_mixing, op8_vector_dedup)}
+ORACLES = {"op7_mixing": mixing.ORACLE, "op8_vector_dedup": vector_dedup.ORACLE}
