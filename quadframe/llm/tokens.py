@@ -2,8 +2,8 @@
 
 Both supported kinds of pre-tokenizer (a \\p{L}+ / \\p{N} / punctuation split, with or without one leading
 space) always start a new piece where white space follows other characters and where plain punctuation
-follows a letter, and nothing they do later looks back. Text cut there encodes chunk by chunk to the ids
-of the whole. Texts with control characters, whose white space the regular expressions see differently,
+follows a letter, and nothing they do later looks back. So does a single line end between other characters
+and a letter. Text cut there encodes chunk by chunk to the ids of the whole. Texts with control characters, whose white space the regular expressions see differently,
 and with a special token's string are encoded whole.
 """
 
@@ -21,7 +21,7 @@ if sys.byteorder != "little" or array("I").itemsize != 4:
 CACHE_CHUNKS = 600_000
 _LETTER = "A-Za-zÀ-ÖØ-öø-įı-ɏ"  # without İ, whose lower case holds a mark
 _MARKS = r".,:;!?|#$%&*"
-_CHUNK = re.compile(rf"\s*[{_LETTER}]+(?=[\s{_MARKS}]|\Z)|[{_MARKS}]+(?=\s|\Z)|\s*\S+|\s+")
+_CHUNK = re.compile(rf"\n(?=[{_LETTER}])|\s*[{_LETTER}]+(?=[\s{_MARKS}]|\Z)|[{_MARKS}]+(?=\s|\Z)|\s*\S+|\s+")
 _CHUNK_WITHOUT_SPACE = re.compile(rf"[{_LETTER}]+(?=[\s{_MARKS}]|\Z)|[{_MARKS}]+(?=\s|\Z)|\S+")
 _ODD = re.compile(r"[\x00-\x08\x0b-\x1f\x7f-\x9f]|<\|")
 _BEYOND = re.compile(r"[^\t\n -įı-ɏ]")
