@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, simhash_dedup, suffix_dedup, token_output, vector_dedup
+from . import language_id, mixing, packing, simhash_dedup, suffix_dedup, token_output, toxicity, vector_dedup
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.encode_and_read(_docs(spark, sf_dir))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_docs(spark, sf_dir))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_docs(spark, sf_dir))[0].select("doc_id", "size", "source_size", "target", "taken")
 
@@ -35,5 +39,9 @@ def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_packing, op5_token_output, op7_mixing, op8_vector_dedup)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_packing, op5_token_output, op6_language_id, op7_mixing, op8_vector_dedup, op10_toxicity)}
 ORACLES = {"op7_mixing": mixing.ORACLE, "op8_vector_dedup": vector_dedup.ORACLE}
