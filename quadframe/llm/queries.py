@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, packing, simhash_dedup, suffix_dedup, token_output, toxicity, vector_dedup
+from . import language_id, licenses, mixing, packing, simhash_dedup, suffix_dedup, token_output, topk_search, toxicity, vector_dedup
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_docs(spark, sf_dir))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.encode_and_read(_docs(spark, sf_dir))
 
@@ -39,9 +43,14 @@ def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return topk_search.search(docs, docs.filter(f"doc_id % {topk_search.EVERY} = 0"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_packing, op5_token_output, op6_language_id, op7_mixing, op8_vector_dedup, op10_toxicity)}
-ORACLES = {"op7_mixing": mixing.ORACLE, "op8_vector_dedup": vector_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_packing, op4_licenses, op5_token_output, op6_language_id, op7_mixing, op8_vector_dedup, op9_topk_search, op10_toxicity)}
+ORACLES = {"op7_mixing": mixing.ORACLE, "op8_vector_dedup": vector_dedup.ORACLE, "op9_topk_search": topk_search.ORACLE}
