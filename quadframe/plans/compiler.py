@@ -216,7 +216,7 @@ class Compiler:
                 once = self.data.quads.has_graphs
         elif isinstance(g, Var):
             df = df.filter("g IS NOT NULL")
-            if self.scoped:
+            if self.scoped and isinstance(self.named, list):
                 df = df.filter(F.col("g").isin(*[f"<{x}>" for x in self.named]))
         elif self.scoped and g.value not in self.named:
             df = df.filter(F.lit(False))
