@@ -70,8 +70,8 @@ class Scanner:
             self.has[t, self.number[list(c)]] = True
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(license, best Dice, first word of the first such passage, matching passages that do not
-        overlap, found from the left) for each license that matches."""
+        """(license, best Dice, its first word, passages) for each license that is found. Of passages that
+        overlap, the most similar counts, then the longer, then the earlier, then the license by name."""
         split = words(text)
         n = len(split)
         if n < 2:
@@ -81,7 +81,7 @@ class Scanner:
         number = np.where(pairs >= 0, self.number[pairs], -1)
         if not (number >= 0).any():
             return []
-        held, out = self.has[:, number] & (number >= 0), []
+        held, matches = self.has[:, number] & (number >= 0), []
         for t in np.flatnonzero(held.any(1)):
             size, passage = self.sizes[t] - 1, min(self.sizes[t], n) - 1
             need = self.threshold * (size + passage) / 2
@@ -89,17 +89,18 @@ class Scanner:
                 continue
             upto = np.concatenate([[0], np.cumsum(held[t])])
             starts = np.flatnonzero(upto[passage:] - upto[:-passage] >= math.ceil(need - 1e-9))
-            best, found = (0.0, 0), []
             for s in starts.tolist():
                 shared = sum((Counter(pairs[s : s + passage][held[t, s : s + passage]].tolist()) & self.bigrams[t]).values())
                 dice = 2 * shared / (size + passage)
                 if dice >= self.threshold - 1e-12:
-                    best = max(best, (dice, -s))
-                    if not found or s > found[-1] + passage:
-                        found.append(s)
-            if found:
-                out.append((self.names[t], best[0], -best[1], len(found)))
-        return out
+                    matches.append((-dice, -passage, s, self.names[t]))
+        taken, found = np.zeros(n, bool), {}
+        for dice, passage, s, name in sorted(matches):
+            if not taken[s : s - passage + 1].any():
+                taken[s : s - passage + 1] = True
+                best = found.setdefault(name, [-dice, s, 0])
+                best[2] += 1
+        return [(name, *best) for name, best in sorted(found.items())]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
