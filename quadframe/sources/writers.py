@@ -43,7 +43,7 @@ def write_csv(df: DataFrame, path: str, codec: str | None = None, mode: str = "e
     """One line per row under path, each file headed by the column names. Rows stay where they are."""
     names = df.columns
     line = F.concat_ws(",", *[csv_cell(F.col(f"`{c}`")) for c in names])
-    w = df.select(line.alias(",".join(names))).write.mode(mode).option("header", True).option("quote", "").option("quoteAll", False).option("escapeQuotes", False).option("sep", "\x01").option("emptyValue", "")
+    w = df.select(line.alias(",".join(names))).write.mode(mode).option("header", True).option("quote", "\x02").option("escape", "\x02").option("sep", "\x01").option("emptyValue", "")
     (w.option("compression", codec) if codec else w).csv(path)
 
 

@@ -93,4 +93,7 @@ def _of(m: re.Match) -> IRI | BNode | Literal:
 def resolve(base: str | None, iri: str) -> str:
     if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", iri) or not base:
         return iri
-    return urljoin(base, iri)
+    if not iri or iri.startswith("#"):
+        return base.partition("#")[0] + iri
+    out = urljoin(base, iri)
+    return out + "#" if iri.endswith("#") and not out.endswith("#") else out
