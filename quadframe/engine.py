@@ -25,7 +25,7 @@ class Engine:
     def compiler(self, q: Query | None, fork: int = 0) -> Compiler:
         return Compiler(self.spark, self.dataset, self.datasets, q, fork, self.stats)
 
-    def query(self, text: str | Query, as_terms: bool = False, fork: int = 0) -> DataFrame:
+    def query(self, text: str | Query, as_terms: bool = False, fork: int = 0, as_text: bool = False) -> DataFrame:
         """SELECT: a column per variable; CONSTRUCT and DESCRIBE: s, p, o; ASK: one boolean."""
         q = self.parse(text) if isinstance(text, str) else text
         c = self.compiler(q, fork)
@@ -33,7 +33,7 @@ class Engine:
             return self._describe(q, c)
         rel = c.compile(q.root)
         if q.form == "SELECT":
-            return output(rel, as_terms)
+            return output(rel, as_terms, as_text)
         if q.form == "ASK":
             return rel.df.limit(1).agg((F.count(F.lit(1)) > 0).alias("result"))
         return instantiate(rel, q.template).select("s", "p", "o").distinct()

@@ -691,14 +691,15 @@ def _has_exists(e: Any) -> bool:
     return isinstance(e, E) and (e.op in ("exists", "notexists", "any", "all", "insub") or any(map(_has_exists, e.args)))
 
 
-def output(rel: Rel, as_terms: bool = False) -> DataFrame:
-    """The relation's visible variables as columns of their names; native columns unless as_terms."""
+def output(rel: Rel, as_terms: bool = False, as_text: bool = False) -> DataFrame:
+    """The relation's visible variables as columns of their names: native columns, N-Triples text with
+    as_terms, or with as_text what STR() gives (for blank nodes their labels)."""
     cols = []
     for n, x in rel.lanes.items():
         if n.startswith((".", "_:")):
             continue
         native = x.value() if x.kind not in ("key", "iri") else V("iri", lexical(x.value()))
-        cols.append((x.term() if as_terms else native.col).alias(n))
+        cols.append((x.term() if as_terms else F.coalesce(lexical(x.value()), x.term()) if as_text else native.col).alias(n))
     return rel.sorted().select(*cols)
 
 

@@ -161,7 +161,7 @@ def export(engine: Engine, query: str, target: str, jdbc: dict | None = None, tr
     q = engine.parse(query)
     if q.form == "ASK":
         raise ExportFault("an ASK query has no rows to export")
-    df = engine.query(q, fork=fork)
+    df = engine.query(q, fork=fork, as_text=True)
     if target.startswith("null:"):
         return df.count()
     codec = _CODECS.get(os.path.splitext(target)[1])
