@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +41,30 @@ class Engine:
             return rel.df.limit(1).agg((F.count(F.lit(1)) > 0).alias("result"))
         return instantiate(rel, q.template).select("s", "p", "o").distinct()
 
+    def rows(self, text: str | Query, timeout: float | None = None, **options) -> list:
+        """Collected rows; after `timeout` seconds the query's jobs are cancelled and TimeoutError is raised."""
+        if timeout is None:
+            return self.query(text, **options).collect()
+        sc, group, late = self.spark.sparkContext, f"quadframe-{uuid.uuid4().hex}", threading.Event()
+
+        def stop() -> None:
+            late.set()
+            sc.cancelJobGroup(group)
+
+        timer = threading.Timer(timeout, stop)
+        before = sc.getLocalProperty("spark.jobGroup.id")
+        sc.setJobGroup(group, "query with a time limit", True)
+        timer.start()
+        try:
+            return self.query(text, **options).collect()
+        except Exception as fault:
+            if late.is_set():
+                raise TimeoutError(f"the query took more than {timeout} s") from fault
+            raise
+        finally:
+            timer.cancel()
+            sc.setLocalProperty("spark.jobGroup.id", before)
+
     def ask(self, text: str) -> bool:
         return bool(self.query(text).first()[0])
 

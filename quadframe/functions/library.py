@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..terms import INTEGERS, NUMERIC, QF, RDF, XSD
-from .values import NUMBERS, V, ebv, is_literal, is_plain, lexical, null, number, rank, t_is, t_tail, tail, time, to_term
+from ..terms import INTEGERS, QF, RDF, XSD
+from .values import NUMBERS, V, is_literal, is_plain, lexical, null, number, rank, t_is, t_tail, tail, time, to_term
 
 
 class UnknownFunction(ValueError):
@@ -284,4 +284,3 @@ LIBRARY: dict[str, Callable[..., V]] = {
 }
 CASTS = {XSD + n: _cast(n) for n in ("boolean", "integer", "decimal", "float", "double", "string", "dateTime")} | {d: _cast("integer") for d in INTEGERS}
 FORK_IRI = QF + "forkAndFilterBy"
-__all__ = ["CASTS", "FORK_IRI", "LIBRARY", "NUMERIC", "REGISTRY", "UnknownFunction", "ebv", "fork", "register_function", "unregister_function"]

@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import library as L
-from ..functions.values import V, arithmetic, compare, constant, ebv, is_literal, is_plain, lexical, null, number, rank, sort_keys, t_lex, to_term
+from ..functions.values import V, arithmetic, compare, constant, ebv, is_literal, is_plain, lexical, null, number, rank, sort_keys, to_term
 from ..operators import paths
 from ..sources.dataset import Dataset, MappedTable
 from ..terms import NIL, QF, RDF, XSD, BNode, IRI, Literal, Var
 from .algebra import BGP, Distinct, E, Extend, Filter, Group, Intersect, Join, LeftJoin, Minus, Node, OrderBy, Path, Pattern, Project, Query, Reduced, Service, Slice, Union, Unit, Values, used, variables
 from .cardinality import Statistics, fork_variables, ordered
-from .lanes import Lane, Rel, alike, fresh, is_constant, never, pair, to_lane, unify, union
+from .lanes import Lane, Rel, alike, fresh, is_constant, never, pair, to_lane, union
 
 
 class CompileFault(ValueError):
@@ -702,5 +702,3 @@ def output(rel: Rel, as_terms: bool = False, as_text: bool = False) -> DataFrame
         cols.append((x.term() if as_terms else F.coalesce(lexical(x.value()), x.term()) if as_text else native.col).alias(n))
     return rel.sorted().select(*cols)
 
-
-__all__ = ["CompileFault", "Compiler", "output", "t_lex", "unify"]

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import NUMBERS, V, constant, is_plain, lexical, to_term
+from ..functions.values import V, constant, is_plain, lexical, to_term
 from ..terms import XSD, BNode, IRI, Literal
 
 _numbers = itertools.count()
@@ -153,5 +153,3 @@ def union(rels: list[Rel]) -> Rel:
         df = df.unionByName(p.df)
     return Rel(df, parts[0].lanes)
 
-
-__all__ = ["NUMBERS", "Lane", "Rel", "alike", "fresh", "is_constant", "never", "pair", "to_lane", "unify", "union"]

@@ -98,6 +98,15 @@ class Dataset:
             out = out.filter((F.col("g").isNull() & F.lit(None in graphs)) | F.coalesce(F.col("g").isin(*named), F.lit(False)))
         return out
 
+    def set_namespace(self, prefix: str, iri: str) -> None:
+        self.namespaces[prefix] = iri
+
+    def remove_namespace(self, prefix: str) -> None:
+        self.namespaces.pop(prefix, None)
+
+    def clear_namespaces(self) -> None:
+        self.namespaces.clear()
+
     def contexts(self) -> DataFrame:
         return self.all_quads().filter("g IS NOT NULL").select("g").distinct()
 

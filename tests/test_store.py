@@ -19,6 +19,7 @@ from quadframe.plans.cardinality import Statistics, estimate
 from quadframe.plans.parser import parse_query
 from quadframe.server import Server, stored_queries
 from quadframe.sources import formats, load, writers
+from quadframe.sources.catalog import Catalog
 from quadframe.sources.dataset import QUADS, Dataset, QuadTable
 from quadframe.streaming import changes
 from quadframe.terms import IRI, XSD, BNode, Literal, parse_term
@@ -316,6 +317,49 @@ def test_profile_presplit_textindex(spark):
     assert count("red AND fox") == 10 and count("fox NOT 3") == 9 and count("fox OR dog") == 20 and count("re*") == 20 and count("'red dog'".replace("'", '\\"')) == 10 and count("(fox AND 1) OR (dog AND 2)") == 2
 
 
+def test_namespaces_and_timeout(spark):
+    d = Dataset.from_quads(spark, [(IRI(f"urn:{i}"), P, Literal(str(i % 9))) for i in range(3000)])
+    d.set_namespace("e", "urn:")
+    e = Engine(spark, d)
+    assert len(e.rows("SELECT ?o { e:5 e:p ?o }", timeout=60)) == 1
+    d.remove_namespace("e")
+    with pytest.raises(ValueError):
+        e.rows("SELECT ?o { e:5 e:p ?o }")
+
+    def sleepy(batches):
+        import time
+
+        time.sleep(60)
+        yield from batches
+
+    slow = Dataset(spark, quads=QuadTable(d.quads.df.mapInArrow(sleepy, QUADS)))
+    with pytest.raises(TimeoutError):
+        Engine(spark, slow).rows("SELECT * { ?s ?p ?o }", timeout=2)
+    d.clear_namespaces()
+    assert not d.namespaces
+
+
+def test_catalog_keeps_versions(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path / "root"))
+    assert c.names() == []
+    c.create("one", quads(spark, grid(3)))
+    c.create("two")
+    old = c.open("one")
+    new = c.change("one", lambda d: Updater(d).run("DELETE WHERE { <urn:s0> ?p ?o }"))
+    assert (old.size(), new.size(), c.open("two").size()) == (9, 6, 0) and sorted(c.all()) == c.names() == ["one", "two"]
+    c.set_writable("one", False)
+    with pytest.raises(PermissionError):
+        c.save("one", new.quads.df)
+    with pytest.raises(ValueError):
+        c.create("one")
+    c.set_writable("one", True)
+    c.prune("one")
+    assert c.open("one").size() == 6
+    c.drop("two")
+    with pytest.raises(KeyError):
+        c.open("two")
+
+
 # server and command line
 
 @pytest.fixture(scope="module")
