@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.values import t_is
-from .plans.algebra import Query
+from .plans.algebra import External, Join, Query, substituted
 from .plans.cardinality import Statistics
 from .plans.compiler import Compiler, output
 from .plans.lanes import Rel
@@ -28,9 +28,12 @@ class Engine:
     def compiler(self, q: Query | None, fork: int = 0) -> Compiler:
         return Compiler(self.spark, self.dataset, self.datasets, q, fork, self.stats)
 
-    def query(self, text: str | Query, as_terms: bool = False, fork: int = 0, as_text: bool = False) -> DataFrame:
-        """SELECT: a column per variable; CONSTRUCT and DESCRIBE: s, p, o; ASK: one boolean."""
+    def query(self, text: str | Query, as_terms: bool = False, fork: int = 0, as_text: bool = False, bindings: DataFrame | None = None) -> DataFrame:
+        """SELECT: a column per variable; CONSTRUCT and DESCRIBE: s, p, o; ASK: one boolean. bindings: rows
+        that the WHERE clause is joined with, columns named as variables (strings are N-Triples text)."""
         q = self.parse(text) if isinstance(text, str) else text
+        if bindings is not None:
+            q.root = substituted(q.root, q.where, Join(External(bindings), q.where))
         c = self.compiler(q, fork)
         if q.form == "DESCRIBE":
             return self._describe(q, c)

@@ -16,6 +16,7 @@ from ..plans.parser import parse_update
 from ..sources.dataset import QUADS, Dataset, QuadTable
 from ..staging import stage
 from ..terms import BNode, Var
+from .timeline import bulk_delete, compact
 
 #: Bound in a WHERE clause, this variable is the time of that row's changes: integer milliseconds or xsd:dateTime.
 TIMESTAMP = "QUADFRAME_TIMESTAMP"
@@ -44,10 +45,26 @@ class Updater:
             df = self.quads() if rest is None else rest
             df = self.without(df, gone)
             df = df.unionByName(new).distinct() if new is not None else df
-            df = stage(df, "quads")
-            self.data = replace(self.data, quads=QuadTable(df, not df.filter("g IS NOT NULL").isEmpty()))
+            self.keep(df)
         return self.data
 
+    def keep(self, df: DataFrame) -> Dataset:
+        df = stage(df.select("s", "p", "o", "g"), "quads")
+        self.data = replace(self.data, quads=QuadTable(df, not df.filter("g IS NOT NULL").isEmpty()))
+        return self.data
+
+    def add(self, quads: DataFrame) -> Dataset:
+        """The dataset with more statements (s, p, o, g)."""
+        if not self.data.writable:
+            raise PermissionError("the dataset is read-only")
+        return self.keep(self.quads().unionByName(quads.select("s", "p", "o", "g")).distinct())
+
+    def remove(self, **pattern) -> Dataset:
+        """The dataset without statements of a pattern (s, p, o, graphs), each from its own graph."""
+        if not self.data.writable:
+            raise PermissionError("the dataset is read-only")
+        return self.keep(bulk_delete(self.quads(), **pattern))
+
     def without(self, df: DataFrame, gone: DataFrame | None) -> DataFrame:
         """A deletion without a graph removes the statement from every graph."""
         if gone is None:
@@ -132,8 +149,6 @@ def _timed(rel, template: list[tuple]) -> DataFrame:
 
 def bulk_update(dataset: Dataset, files: list[str], now: int = 0, forks: int = 1) -> Dataset:
     """Stage k runs the k-th operation of every text on one snapshot; all changes take effect together."""
-    from .timeline import compact
-
     texts = [parse_update(t, prefixes=dataset.namespaces) for t in files]
     for k in range(max(map(len, texts), default=0)):
         updater = Updater(dataset)

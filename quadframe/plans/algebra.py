@@ -97,6 +97,13 @@ class Values(Node):
     rows: list[list]
 
 
+@dataclass
+class External(Node):
+    """Rows of a DataFrame: columns are variables, string columns N-Triples text, others literals."""
+
+    df: Any
+
+
 @dataclass
 class Group(Node):
     child: Node
@@ -158,6 +165,7 @@ class Query:
     named_graphs: list[str] = field(default_factory=list)
     has_dataset: bool = False
     base: str | None = None
+    where: Node | None = None
 
 
 @dataclass
@@ -173,6 +181,17 @@ class Update:
     silent: bool = False
 
 
+def substituted(node: Any, old: Node, new: Node) -> Any:
+    """The tree with one node replaced."""
+    if node is old:
+        return new
+    if isinstance(node, Node):
+        for name, x in vars(node).items():
+            if isinstance(x, Node):
+                setattr(node, name, substituted(x, old, new))
+    return node
+
+
 def variables(node: Any) -> set[str]:
     """Variables in scope above a node."""
     if isinstance(node, Pattern):
@@ -189,6 +208,8 @@ def variables(node: Any) -> set[str]:
         return variables(node.child) | {node.var}
     if isinstance(node, Values):
         return set(node.names)
+    if isinstance(node, External):
+        return set(node.df.columns)
     if isinstance(node, Group):
         return {k for k, _ in node.keys} | {k for k, _ in node.aggregates}
     if isinstance(node, Project):

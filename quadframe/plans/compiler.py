@@ -15,7 +15,7 @@ from ..functions.values import V, arithmetic, compare, constant, ebv, is_literal
 from ..operators import paths
 from ..sources.dataset import Dataset, MappedTable
 from ..terms import NIL, QF, RDF, XSD, BNode, IRI, Literal, Var
-from .algebra import BGP, Distinct, E, Extend, Filter, Group, Intersect, Join, LeftJoin, Minus, Node, OrderBy, Path, Pattern, Project, Query, Reduced, Service, Slice, Union, Unit, Values, used, variables
+from .algebra import BGP, Distinct, E, Extend, External, Filter, Group, Intersect, Join, LeftJoin, Minus, Node, OrderBy, Path, Pattern, Project, Query, Reduced, Service, Slice, Union, Unit, Values, used, variables
 from .cardinality import Statistics, fork_variables, ordered
 from .lanes import Lane, Rel, alike, fresh, is_constant, never, pair, to_lane, union
 
@@ -68,6 +68,11 @@ class Compiler:
             return Rel(self.spark.range(len(node.rows)).select(F.lit(1).alias(fresh())), {})
         return Rel(self.spark.createDataFrame(list(zip(*columns)), ", ".join(fields)), lanes)
 
+    def _external(self, node: External) -> Rel:
+        kinds = {"bigint": "integer", "int": "integer", "double": "double", "float": "float", "boolean": "boolean", "timestamp": "dateTime", "timestamp_ntz": "dateTime", "date": "date"}
+        lanes = {n: Lane("term" if t == "string" else kinds[t], fresh(), null=True) for n, t in node.df.dtypes}
+        return Rel(node.df.select(*[F.col(f"`{n}`").cast("long" if x.kind == "integer" else t).alias(x.col) for (n, t), x in zip(node.df.dtypes, lanes.values())]), lanes)
+
     def _bgp(self, node: BGP) -> Rel:
         if not node.patterns:
             return self.unit()

@@ -123,6 +123,12 @@ def test_federation(spark, engine):
         rows(e, "SELECT ?s { SERVICE <http://elsewhere/> { ?s :rank ?r } }")
 
 
+def test_rows_from_outside(spark, engine):
+    df = spark.createDataFrame([("<urn:x/a>", 1), ("<urn:x/b>", 2), ("<urn:x/none>", 3)], "s string, rank long")
+    assert rows(engine, "SELECT ?n ?rank { ?s :name ?n } ORDER BY ?n", bindings=df) == [('"Ann"', f'"1"{INT}'), ('"Bob"', f'"2"{INT}')]
+    assert rows(engine, "SELECT (COUNT(*) AS ?n) { ?s :knows ?k }", bindings=df) == [(f'"3"{INT}',)]
+
+
 def test_functions_of_users(engine):
     register_function("urn:f", lambda v: plain(lexical(v)))
     assert rows(engine, "SELECT ?x { BIND(<urn:f>(:a) AS ?x) }") == [('":a"',)]

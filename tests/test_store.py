@@ -157,6 +157,17 @@ def test_add_remove_scan(spark):
     assert Updater(d).run("DELETE DATA { <urn:a> <urn:p> <urn:b> }").size() == 0
     with pytest.raises(PermissionError):
         Updater(Dataset(spark, quads=d.quads, writable=False)).run("CLEAR ALL")
+    more = Updater(d).add(quads(spark, [(a, P, b), (b, P, a, IRI("urn:g"))]))
+    assert more.size() == 3 and Updater(more).remove(s=a).size() == 1 and Updater(more).remove(s=a, graphs=[None]).size() == 2
+
+
+@pytest.mark.parametrize("mask", range(16))
+def test_every_pattern_of_colliding_statements(spark, mask):
+    rows = [(IRI(f"urn:s{i}"), IRI(f"urn:p{j}"), IRI(f"urn:o{k}"), IRI(f"urn:g{g}")) for i in "12" for j in "12" for k in "12" for g in "12"]
+    d = Dataset.from_quads(spark, rows)
+    cut = [t if mask >> n & 1 else None for n, t in enumerate((IRI("urn:s1"), IRI("urn:p1"), IRI("urn:o1")))]
+    graphs = ["urn:g1"] if mask & 8 else None
+    assert d.statements(*cut, graphs=graphs).count() == 16 >> mask.bit_count()
 
 
 def test_updates(spark, tmp_path):
