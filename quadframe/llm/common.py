@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +109,37 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     return out
 
 
+_SEGMENT = 20
+
+
+def bloom(hashes: DataFrame, n: int, most_bits: int) -> tuple[int, np.ndarray]:
+    """(bits, bitmap) of a Bloom filter of the n longs in column h, with two bits each and most_bits at
+    most; it is built in segments on the cluster."""
+    bits = min(most_bits, max(1 << _SEGMENT, 1 << (12 * n).bit_length()))
+    places = hashes.select(F.explode(F.array(F.col("h").bitwiseAND(bits - 1), F.shiftright("h", 29).bitwiseAND(bits - 1))).alias("bit"))
+    schema = pa.schema([("segment", pa.int64()), ("bits", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for b in batches:
+            bit = b.column(0).to_numpy()
+            segment = bit >> _SEGMENT
+            for s in np.unique(segment).tolist():
+                own.setdefault(s, np.zeros(1 << _SEGMENT, bool))[bit[segment == s] & ((1 << _SEGMENT) - 1)] = True
+        if own:
+            yield batch({"segment": list(own), "bits": [np.packbits(v, bitorder="little").tobytes() for v in own.values()]}, schema)
+
+    filled = np.zeros(bits // 8, np.uint8)
+    for s, packed in places.repartition(F.shiftright("bit", _SEGMENT)).mapInArrow(run, "segment long, bits binary").collect():
+        filled[s << (_SEGMENT - 3) : (s + 1) << (_SEGMENT - 3)] = np.frombuffer(packed, np.uint8)
+    return bits, filled
+
+
+def in_bloom(h: np.ndarray, bits: int, filled: np.ndarray) -> np.ndarray:
+    bit = np.stack([h & np.uint64(bits - 1), (h >> np.uint64(29)) & np.uint64(bits - 1)]).astype(np.int64)
+    return ((filled[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).all(0)
+
+
 def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 

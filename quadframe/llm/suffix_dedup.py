@@ -32,7 +32,6 @@ LENGTH = 100
 GRAM = 32
 #: Bits of the Bloom filter at most (64 MB); beyond what it can tell apart, more rows are exchanged.
 BLOOM_BITS = 1 << 29
-_SEGMENT = 20
 #: Suffixes that a map task holds before it writes runs, and that a part should get.
 RUN = 150_000
 PART = 50_000
@@ -197,27 +196,6 @@ def repeated(meta: np.ndarray, suffixes: list[bytes], lefts: list[bytes], lcp: n
     return later, first
 
 
-def _bloom(dup: DataFrame, n: int) -> tuple[int, np.ndarray]:
-    bits = min(BLOOM_BITS, max(1 << _SEGMENT, 1 << (12 * n).bit_length()))
-    places = dup.select(F.explode(F.array(F.col("h").bitwiseAND(bits - 1), F.shiftright("h", 29).bitwiseAND(bits - 1))).alias("bit"))
-    schema = pa.schema([("segment", pa.int64()), ("bits", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, np.ndarray] = {}
-        for b in batches:
-            bit = b.column(0).to_numpy()
-            segment = bit >> _SEGMENT
-            for s in np.unique(segment).tolist():
-                own.setdefault(s, np.zeros(1 << _SEGMENT, bool))[bit[segment == s] & ((1 << _SEGMENT) - 1)] = True
-        if own:
-            yield common.batch({"segment": list(own), "bits": [np.packbits(v, bitorder="little").tobytes() for v in own.values()]}, schema)
-
-    filled = np.zeros(bits // 8, np.uint8)
-    for s, packed in places.repartition(F.shiftright("bit", _SEGMENT)).mapInArrow(run, "segment long, bits binary").collect():
-        filled[s << (_SEGMENT - 3) : (s + 1) << (_SEGMENT - 3)] = np.frombuffer(packed, np.uint8)
-    return bits, filled
-
-
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs: id (not null), dk (hash of the text), text. Returns (doc, dk, s, e): repeated byte spans."""
     if not GRAM < length <= LENGTH_MAX:
@@ -235,7 +213,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     counted = docs.select("text").mapInArrow(grams, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
     dup = common.stage(counted, "grams")
     n_dup, total = dup.agg(F.count("h"), F.coalesce(F.sum("n"), F.lit(0))).collect()[0]
-    bits, filled = _bloom(dup, n_dup)
+    bits, filled = common.bloom(dup, n_dup, BLOOM_BITS)
     limit = min(max(4096, total // 256), PART)
     slots = dup.groupBy(F.shiftright("h", 48).alias("slot")).agg(F.sum("n").alias("n"))
     limit = max(limit, 4 * total // common.SKETCH_SLOTS)
@@ -270,8 +248,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 place, lo, hi, h = anchors(np.frombuffer(text, np.uint8), length)
                 if not len(place):
                     continue
-                bit = np.stack([h & np.uint64(bits - 1), (h >> np.uint64(29)) & np.uint64(bits - 1)]).astype(np.int64)
-                hit = ((filled[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).all(0)
+                hit = common.in_bloom(h, bits, filled)
                 place, lo, hi, h = place[hit], lo[hit], hi[hit], h[hit]
                 if not len(place):
                     continue
