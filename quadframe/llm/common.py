@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,48 +10,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import staging
+from ..ship import ship
+from ..staging import shared_dir, unstage
+
+__all__ = ["batch", "bloom", "byte_list", "components", "heavy_slots", "in_bloom", "new_path", "popcount", "shared_dir", "ship", "spanning_links", "stage", "unstage"]
+
 #: Slots of the count sketch that finds hot keys; its size bounds what reaches the driver.
 SKETCH_SLOTS = 1 << 16
 #: Stands in for a null id inside an operator: sorts before every real id.
 NULL_ID = -(1 << 63)
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "quadframe-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back, which cuts lineage and survives lost executors."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_path = path
-    return out
-
-
-def unstage(*frames: DataFrame | None) -> None:
-    """Delete staged tables that no later plan reads."""
-    for df in frames:
-        if df is not None and getattr(df, "_staged_path", None):
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_path)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    return staging.stage(df, f"llm-{name}")
 
 
 def heavy_slots(df: DataFrame, slot: str, limit: int) -> dict[int, int]:
