@@ -42,17 +42,19 @@ def fingerprint(text: bytes, words_per_shingle: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) per row; fp is the fingerprint's bits as a signed long."""
-    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_col: str | None = None) -> DataFrame:
+    """(id, fp) per row, with hash_col (id, hash, fp); fp is the fingerprint's bits as a signed long."""
+    names = ["id", *(["hash"] if hash_col else []), "fp"]
+    schema = pa.schema([(name, pa.int64()) for name in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t) for t in common.byte_list(b.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], schema=schema)
+            fps = np.array([fingerprint(t) for t in common.byte_list(b.columns[-1])], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps.view(np.int64))], schema=schema)
 
     common.ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    keys = [F.col(c).cast("long").alias(name) for c, name in zip([id_col, hash_col], names[:-1])]
+    return docs.select(*keys, F.col(text_col).alias("text")).mapInArrow(run, ", ".join(f"{name} long" for name in names))
 
 
 def key_masks(distance: int, blocks: int) -> list[int]:
@@ -127,6 +129,14 @@ def close_pairs(classes: DataFrame, distance: int = DISTANCE, blocks: int | None
     return grouped.mapInArrow(run, "a long, b long")
 
 
+def _components(fps: DataFrame, distance: int, blocks: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """(fp, root) per distinct fp of fps. The fingerprint itself is the node: ids may be null or repeat."""
+    classes = common.stage(fps.select("fp", F.col("fp").alias("rep")).distinct(), "fpclasses")
+    pairs = common.stage(close_pairs(classes, distance, blocks, chunk), "links")
+    roots = common.components(pairs)
+    return classes.join(roots, classes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, fingerprint, component_id) per row of docs.
 
@@ -134,19 +144,24 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "do
     repeated ids keep their rows. An empty table gives no rows. Other columns are not read.
     """
     fps = common.stage(fingerprints(docs, id_col, text_col), "fps")
-    ids = fps.withColumn("nid", F.coalesce("id", F.lit(common.NULL_ID)))
-    classes = common.stage(ids.groupBy("fp").agg(F.min("nid").alias("rep")), "fpclasses")
-    pairs = common.stage(close_pairs(classes, distance, blocks, chunk), "links")
-    roots = common.components(pairs)
-    named = classes.join(roots, classes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component"))
-    out = fps.join(named, "fp")
+    roots = common.stage(_components(fps, distance, blocks, chunk), "roots")
+    lowest = fps.groupBy("fp").agg(F.min(F.coalesce("id", F.lit(common.NULL_ID))).alias("low"))
+    lowest = roots.join(lowest, "fp").groupBy("root").agg(F.min("low").alias("component"))
+    out = fps.join(roots.join(lowest, "root").select("fp", "component"), "fp")
     back = F.when(F.col("component") != common.NULL_ID, F.col("component"))
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), back.alias("component_id"))
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs with the two longs _id (null first) and _hash that tell rows apart, equal rows excepted."""
+    rest = [c for c in docs.columns if c != "doc_id"]
+    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID))).withColumn("_hash", F.xxhash64("text", *rest))
+
+
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component; of repeated rows of that id, one."""
-    spans = near_duplicates(docs, distance)
-    kept = spans.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    picked = docs.join(kept.withColumnRenamed("doc_id", "_kept_id"), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return picked.dropDuplicates(["doc_id"])
+    """One row of docs per component: the smallest doc_id's (null first); of several, by the row's hash."""
+    rows = _rows(docs)
+    fps = common.stage(fingerprints(rows, "_id", "text", "_hash"), "fps")
+    first = fps.join(_components(fps, distance), "fp").groupBy("root").agg(F.min(F.struct("id", "hash")).alias("first"))
+    first = first.select(F.col("first.id").alias("_id"), F.col("first.hash").alias("_hash"))
+    return rows.join(first, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(docs.columns)

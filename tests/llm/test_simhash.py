@@ -80,3 +80,18 @@ def test_keep_one(spark):
     rows = cases.hard_rows()
     kept = [r[0] for r in S.keep_one(cases.docs(spark, rows)).collect()]
     assert sorted(kept, key=str) == sorted({c for d, _, c in brute(rows) if d == c}, key=str)
+
+
+def test_keep_one_by_component_not_by_id(spark):
+    texts = [cases.prose(100 + i, 120) for i in range(12)]
+    near = texts[0].rsplit(" ", 1)[0]
+    rows = [(None, t) for t in texts[:5]] + [(7, t) for t in texts[5:10]] + [(1, texts[10]), (1, texts[11]), (2, near), (3, texts[11]), (3, texts[11])]
+    got = sorted(S.keep_one(cases.docs(spark, rows)).collect(), key=str)
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(None, t) for t in texts[:5]] + [(7, t) for t in texts[5:10]] + [(1, t) for t in texts[10:]], key=str)
+
+
+def test_shared_ids_link_no_components(spark):
+    texts = [cases.prose(100 + i, 120) for i in range(3)]
+    # both fingerprints of id 9 have it as their smallest; only the first is near id 2's
+    rows = [(9, texts[0]), (9, texts[1]), (10, texts[1] + " tail"), (2, texts[0] + " tail"), (None, texts[2]), (None, texts[2] + " tail")]
+    assert sorted(map(tuple, S.near_duplicates(cases.docs(spark, rows)).collect()), key=str) == brute(rows)
