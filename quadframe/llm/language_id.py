@@ -2,8 +2,9 @@
 
 Linear support vector machines, one for each pair, first choose among language families, then among the
 languages of the chosen family; most wins take it, and margins break ties. Inputs are hashed byte 1- to
-4-grams of the whole lower-cased text. The machines are fitted on at most SAMPLE rows per language, taken
-in order of their id's hash; everything else reads every row.
+4-grams of the whole lower-cased text. The machines are fitted on at most SAMPLE rows per language, fewer
+where more than TOTAL / SAMPLE languages occur, taken in order of the hash of id and text; every language
+that occurs is learned, and everything else reads every row.
 """
 
 from __future__ import annotations
@@ -14,14 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Rows per language that the machines are fitted on, and languages that are learned (the most frequent).
+#: Rows that the machines are fitted on: per language, and of all languages together (one each at least).
 SAMPLE = 800
-LANGUAGES = 64
+TOTAL = 64 * SAMPLE
 BUCKETS = 1 << 12
 UNKNOWN = "und"
 #: Scores under this are rejected by accepted(); clean text of a learned language is far above.
@@ -122,14 +123,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Reads text and lang of the rows that are not held out; only features of the sample are gathered."""
     known = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.filter(F.col("text").rlike(r"\p{L}"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    langs = [r["lang"] for r in counts]
+    counts = known.groupBy("lang").count().collect()
+    most = max(1, min(SAMPLE, TOTAL // max(1, len(counts))))
     # per language about four times the sample by a threshold on the hash, then the lowest hashes of these
-    share = F.lit(None).cast("double")
-    for lang, n in counts:
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 4 * SAMPLE / n))).otherwise(share)
-    key = F.xxhash64("id")
-    drawn = known.filter(key.cast("double") / 2.0**64 + 0.5 <= share).select("lang", key.alias("key"), "text")
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, 4 * most / n)) for lang, n in counts], "lang string, share double")
+    keyed = known.withColumn("key", F.xxhash64("id", "text")).join(F.broadcast(shares), "lang")
+    drawn = keyed.filter(F.col("key").cast("double") / 2.0**64 + 0.5 <= F.col("share")).select("lang", "key", "text")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    last = drawn.select("lang", "key").withColumn("rank", rank).filter(F.col("rank") <= most).groupBy("lang").agg(F.max("key").alias("last")).collect()
+    last = docs.sparkSession.createDataFrame([tuple(r) for r in last], "lang string, last long")
+    drawn = drawn.join(F.broadcast(last), "lang").filter(F.col("key") <= F.col("last")).select("lang", "key", "text")
     schema = pa.schema([("lang", pa.string()), ("key", pa.int64()), ("x", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,15 +140,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         for b in batches:
             for lang, key, text in zip(*(b.column(i).to_pylist() for i in range(3))):
                 best.setdefault(lang, []).append((key, text))
-            best = {k: sorted(v)[:SAMPLE] for k, v in best.items()}
+            best = {k: sorted(v)[:most] for k, v in best.items()}
         rows = [(lang, key, features(text).astype(np.float16).tobytes()) for lang, v in best.items() for key, text in v]
         if rows:
             yield common.batch(dict(zip(schema.names, zip(*rows))), schema)
 
     common.ship(docs.sparkSession)
-    gathered: list = []
-    for lang in langs:
-        gathered += drawn.filter(F.col("lang") == lang).mapInArrow(run, "lang string, key long, x binary").orderBy("key", "x").limit(SAMPLE).collect()
+    rows: dict[str, list] = {}
+    for r in drawn.mapInArrow(run, "lang string, key long, x binary").collect():
+        rows.setdefault(r["lang"], []).append(r)
+    # equal rows share a hash
+    gathered = [r for lang in sorted(rows) for r in sorted(rows[lang], key=lambda r: (r["key"], r["x"]))[:most]]
     x = np.array([np.frombuffer(r["x"], np.float16) for r in gathered], np.float32).reshape(len(gathered), BUCKETS)
     return Model(x, np.array([r["lang"] for r in gathered], object))
 

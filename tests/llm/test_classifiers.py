@@ -140,3 +140,13 @@ def test_windows_overlap_and_cover():
     for n in (1, 31, 32, 33, 100, 1000):
         w = T.windows(np.arange(1, n + 1))
         assert set(w.ravel()) - {0} == set(range(1, n + 1)) and w.shape[1] == T.WINDOW
+
+
+def test_every_language_is_learned(spark):
+    codes = [f"{code}-{i}" for code in ("en", "fr", "pl", "ga", "fi", "tr", "hi", "ar") for i in range(9)]
+    rows = []
+    for n, code in enumerate(codes):
+        word = [chr(0x4E00 + 40 * n + k) * 3 for k in range(12)]  # a script of its own
+        rows += [(i, " ".join(random.Random(i).choices(word, k=15)), code) for i in range(100 * n, 100 * n + (4 if n < 8 else 8))]
+    got = {r.doc_id: r.lang_pred for r in L.identify(cases.docs(spark, rows)).collect()}
+    assert got == {i: code for i, _, code in rows}
