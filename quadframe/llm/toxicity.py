@@ -25,18 +25,31 @@ SAMPLE = 2000
 WINDOW, STRIDE = 32, 24
 _HIDDEN, _ATTEND, _WORD_DIM, _GRAM_DIM = 8, 8, 4, 4
 _WORDS, _GRAMS, _LETTERS = 1 << 18, 1 << 18, 24
+#: Letters of a word, or of a piece of it, that are hashed as one; two cells mark the ends.
+_PIECE = _LETTERS - 2
 _WORD = re.compile(r"\w+")
 #: Characters of text that a task turns into windows at once.
 _PORTION = 2_000_000
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of word characters. Runs too long for one row of hashes() come in pieces that overlap by 4
+    letters, so that some piece holds every gram; ~ marks the ends of pieces that are not ends of a run."""
+    words = _WORD.findall(text.lower())
+    if max(map(len, words), default=0) <= _PIECE:
+        return words
+    out = []
+    for w in words:
+        cuts = range(0, max(1, len(w) - 4), _PIECE - 4)
+        out += ["~" * (i > 0) + w[i : i + _PIECE] + "~" * (i + _PIECE < len(w)) for i in cuts]
+    return out
 
 
 def hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word bucket, gram buckets (n, m) and which of them are there; grams see the word's two ends."""
-    cells = np.array([f"<{w[: _LETTERS - 2]}>" for w in words], f"U{_LETTERS}").view(np.uint32).reshape(len(words), _LETTERS)
+    """Word bucket, gram buckets (n, m) and which of them are there; grams see the word's two ends.
+    words: as words_of() gives them."""
+    ends = [("" if w[0] == "~" else "<") + w + ("" if w[-1] == "~" else ">") for w in words]
+    cells = np.array(ends, f"U{_LETTERS}").view(np.uint32).reshape(len(words), _LETTERS)
     size = (cells > 0).sum(1)
     code, word = cells.astype(np.uint32), np.zeros(len(words), np.uint32)
     for k in range(_LETTERS):

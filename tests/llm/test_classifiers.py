@@ -150,3 +150,15 @@ def test_every_language_is_learned(spark):
         rows += [(i, " ".join(random.Random(i).choices(word, k=15)), code) for i in range(100 * n, 100 * n + (4 if n < 8 else 8))]
     got = {r.doc_id: r.lang_pred for r in L.identify(cases.docs(spark, rows)).collect()}
     assert got == {i: code for i, _, code in rows}
+
+
+def test_toxicity_reads_whole_runs(toxic):
+    network = toxic[3]
+    run = "".join("abcdefghijklmnopqrstuvwxyz"[i * 7 % 26] for i in range(90)) + "ende"
+    grams = {run[i : i + 5] for i in range(len(run) - 4)}
+    pieces = T.words_of("x " + run)[1:]
+    assert all(len(p.strip("~")) <= 22 for p in pieces) and all(any(g in p for p in pieces) for g in grams)
+    assert [p[0] == "~" for p in pieces] == [False] + [True] * (len(pieces) - 1) and [p[-1] == "~" for p in pieces] == [True] * (len(pieces) - 1) + [False]
+    clean = "theofand" * 5
+    scores = network.scores([clean, clean + "vileonegrimlyhorrid"])
+    assert scores[1] > scores[0]
