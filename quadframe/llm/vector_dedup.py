@@ -5,12 +5,14 @@ pairs of centroids form a grid of k * k cells, and every vector lies in the cell
 A vector looks for links in the cells nearest to it, in the order of the multi-sequence traversal, as many
 as it takes to find RECALL of made-up pairs whose cosine lies evenly between the threshold and 1; real
 near-duplicates are closer than that, and a pair counts if either side finds it. Candidates are verified
-in double precision. Equal vectors collapse first. Crowded cells are split in chunks on both sides, and
+in double precision. Each length has an index of its own; lengths with few vectors are compared in full.
+Equal vectors collapse first. Crowded cells are split in chunks on both sides, and
 links leave a task as counts and as a spanning forest, never as all pairs of a crowd.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Iterator
 
@@ -27,6 +29,8 @@ RECALL = 0.99
 CELL = 512
 CHUNK = 2048
 MAX_CENTROIDS = 1024
+#: Distinct vectors up to which a length, the most frequent excepted, is compared in full.
+SMALL = 2048
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -223,26 +227,62 @@ def links(classes: DataFrame, index: MultiIndex, kind: str, threshold: float = T
     return spread.repartition(F.col("place")).sortWithinPartitions("place", "asks").mapInArrow(match, "id long, other long, n long")
 
 
+def all_links(classes: DataFrame, kind: str, threshold: float = THRESHOLD) -> DataFrame:
+    """links() of every pair of one length, for lengths of at most SMALL vectors."""
+    common.ship(classes.sparkSession)
+    schema = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("n", pa.int64())])
+
+    def compared(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        rep, n = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        x = _unit(np.frombuffer(b"".join(r[2] for r in rows), kind).reshape(len(rows), -1))
+        i, j = np.nonzero((x @ x.T >= threshold) & (rep[:, None] != rep[None, :]))
+        more = np.bincount(i, weights=n[j], minlength=len(rows)).astype(np.int64)
+        tree = forest(i, j, len(rows))
+        told = np.flatnonzero(more)
+        other = [*[None] * len(told), *rep[j[tree]].tolist()]
+        return common.batch({"id": np.concatenate([rep[told], rep[i[tree]]]), "other": other, "n": np.concatenate([more[told], np.zeros(len(tree), np.int64)])}, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, bytes]] = []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if held and len(held[0][2]) != len(row[2]):
+                    yield compared(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield compared(held)
+
+    return classes.select("rep", "n", "vec").repartition(F.length("vec")).sortWithinPartitions(F.length("vec")).mapInArrow(run, "id long, other long, n long")
+
+
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", chunk: int = CHUNK) -> DataFrame:
     """vec_id, n_links, component_id, kept per row.
 
-    Vectors that are null, empty, all zero or hold a null or non-finite component, and those whose length
-    is not the most frequent one, link with nothing. Rows that share an id are vectors of their own; a
+    Vectors that are null, empty, all zero or hold a null or non-finite component link with nothing, and
+    those of different lengths not with each other. Rows that share an id are vectors of their own; a
     null id sorts first. An empty table gives no rows. Other columns are not read.
     """
     own = common.stage(vectors(df, id_col, vector_col).withColumn("nid", F.coalesce("id", F.lit(common.NULL_ID))), "vectors")
     kind = "<f4" if "float" in df.select(vector_col).dtypes[0][1] else "<f8"
-    usual = own.filter("vec IS NOT NULL").groupBy(F.length("vec").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    size = usual[0] if usual else 0
-    classes = own.filter(F.length("vec") == size).groupBy("vec").agg(F.min("nid").alias("rep"), F.count(F.lit(1)).alias("n"))
+    classes = own.filter("vec IS NOT NULL").groupBy("vec").agg(F.min("nid").alias("rep"), F.count(F.lit(1)).alias("n"))
     # ids repeat where rows share one; a class then goes by the first id and its vector's hash
     classes = common.stage(classes.withColumn("key", F.xxhash64("rep", "vec")), "vecclasses")
-    sample = classes.orderBy(F.xxhash64("vec")).limit(SAMPLE).select("vec").collect()
+    sizes = classes.groupBy(F.length("vec").alias("size")).count().filter("count > 1").orderBy(F.desc("count"), "size").collect()
     back = F.when(F.col("component") != common.NULL_ID, F.col("component"))
     named = classes.select("vec", "n", "rep", F.col("rep").alias("component"), (F.col("n") - 1).alias("n_links"))
-    if len(sample) > 1:
-        index = MultiIndex(_unit(np.frombuffer(b"".join(bytes(r[0]) for r in sample), kind).reshape(len(sample), -1)), classes.count(), threshold)
-        found = common.stage(links(classes.select(F.col("key").alias("rep"), "n", "vec"), index, kind, threshold, chunk), "veclinks")
+    if sizes:
+        ready, parts = classes.select(F.col("key").alias("rep"), "n", "vec"), []
+        large = [(size, n) for i, (size, n) in enumerate(sizes) if i == 0 or n > SMALL]
+        for size, n in large:
+            own_size = F.length("vec") == size
+            sample = classes.filter(own_size).orderBy(F.xxhash64("vec")).limit(SAMPLE).select("vec").collect()
+            index = MultiIndex(_unit(np.frombuffer(b"".join(bytes(r[0]) for r in sample), kind).reshape(len(sample), -1)), n, threshold)
+            parts.append(common.stage(links(ready.filter(own_size), index, kind, threshold, chunk), "veclinks"))
+        if len(sizes) > len(large):
+            few = ~F.length("vec").isin([size for size, _ in large])
+            parts.append(common.stage(all_links(ready.filter(few), kind, threshold), "veclinks"))
+        found = functools.reduce(DataFrame.union, parts)
         more = found.filter("other IS NULL").groupBy(F.col("id").alias("key")).agg(F.sum("n").alias("more"))
         roots = common.components(found.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "key")
         joined = classes.join(more, "key", "left").join(roots, "key", "left")

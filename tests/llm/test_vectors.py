@@ -78,3 +78,23 @@ def test_traversal_is_in_order():
     cells = V.multi_sequence(a, b, 40)
     want = sorted(a[i] + b[j] for i in range(12) for j in range(9))[:40]
     assert np.allclose([a[i] + b[j] for i, j in cells], want)
+
+
+def test_every_length_is_searched(spark, monkeypatch):
+    monkeypatch.setattr(V, "SMALL", 50)
+    r = np.random.default_rng(7)
+    data, linked = [], {}
+    for size, groups in ((8, 50), (12, 40), (5, 6), (3, 1)):  # the most frequent, one with an index of its own, two compared in full
+        for g in range(groups):
+            centre, first = r.standard_normal(size), len(data)
+            for copy in range(3):
+                v = centre if copy < 2 else centre + r.standard_normal(size) * 0.001
+                data.append((len(data), v.astype(np.float32).tolist(), 0))
+    x = [np.array(v) / np.linalg.norm(v) for _, v, _ in data]
+    for i, a in enumerate(x):
+        linked[i] = {j for j, b in enumerate(x) if i != j and len(a) == len(b) and a @ b >= 0.9}
+    low = list(range(len(data)))
+    for _ in data:
+        low = [min([low[i], *(low[j] for j in linked[i])]) for i in range(len(data))]
+    got = V.near_duplicates(spark.createDataFrame(data, SCHEMA)).collect()
+    assert sorted(map(tuple, got)) == [(i, len(linked[i]), low[i], low[i] == i) for i in range(len(data))]
