@@ -4,6 +4,10 @@ Two fingerprints that differ in at most `distance` bits agree on at least `block
 bit blocks, so each choice of that many blocks is one join key and no close pair is lost. Distinct
 fingerprints only enter the join (copies collapse before it), keys that many fingerprints share are split
 into chunk pairs, and a group answers with a spanning forest of its links, never with all its pairs.
+
+keep_dissimilar(), the pipeline's stage, is about texts whose shingles are similar, which few bits do not show
+(at similarity 0.8 SimHash differs in about 10 of 64): minimum hashes give its candidates, and the shingles
+themselves decide.
 """
 
 from __future__ import annotations
@@ -21,6 +25,9 @@ from . import common
 
 DISTANCE = 4
 SHINGLE_WORDS = 4
+#: Of keep_dissimilar(): words of a shingle, least Jaccard similarity, and minimum hashes that find 0.9996 of the pairs at 0.8.
+KEEP_WORDS, SIMILARITY = 5, 0.8
+BANDS, BAND_ROWS = 20, 5
 #: Fingerprints under one key beyond which they are split into chunk pairs.
 CHUNK = 512
 _BIT = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
@@ -165,3 +172,98 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     first = fps.join(_components(fps, distance), "fp").groupBy("root").agg(F.min(F.struct("id", "hash")).alias("first"))
     first = first.select(F.col("first.id").alias("_id"), F.col("first.hash").alias("_hash"))
     return rows.join(first, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(docs.columns)
+
+
+def shingle_set(text: bytes, words_per_shingle: int = KEEP_WORDS) -> np.ndarray:
+    """Distinct 32-bit hashes of the word shingles of UTF-8 text, in order; of all its words if they are fewer."""
+    words = text.lower().split()
+    n = max(1, len(words) - words_per_shingle + 1) if words else 0
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[i : i + words_per_shingle]), 42) for i in range(n)], np.uint64).astype(np.uint32))
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """One key for each of BANDS bands of BAND_ROWS minimum hashes; none for no shingles."""
+    if not len(shingles):
+        return []
+    r = np.random.default_rng(0)
+    factor, shift = r.integers(1 << 63, size=(2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
+    low = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint32).max, np.uint32)
+    for i in range(0, len(shingles), 4096):
+        part = ((factor | np.uint64(1)) * shingles[i : i + 4096].astype(np.uint64) + shift) >> np.uint64(32)
+        low = np.minimum(low, part.min(1).astype(np.uint32))
+    return [_signed(xxhash.xxh64_intdigest(band.tobytes(), i)) for i, band in enumerate(low.reshape(BANDS, BAND_ROWS))]
+
+
+def _shingled(rows: DataFrame) -> DataFrame:
+    """(id, hash, class, keys, shingles) per row of _rows(); texts of one set of shingles are one class."""
+    types = {"id": pa.int64(), "hash": pa.int64(), "class": pa.int64(), "keys": pa.list_(pa.int64()), "shingles": pa.binary()}
+    schema = pa.schema(list(types.items()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t) for t in common.byte_list(b.column(2))]
+            packed = [x.tobytes() for x in sets]
+            made = [[_signed(xxhash.xxh64_intdigest(x, 7)) for x in packed], [band_keys(x) for x in sets], packed]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *(pa.array(m, type=t) for m, t in zip(made, list(types.values())[2:]))], schema=schema)
+
+    common.ship(rows.sparkSession)
+    return rows.select("_id", "_hash", "text").mapInArrow(run, "id long, hash long, class long, keys array<long>, shingles binary")
+
+
+def similar_links(shingled: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
+    """(a, b): links among classes that share a band key and whose shingles are similar, enough to connect all such."""
+    banded = shingled.groupBy("class").agg(F.first("keys").alias("keys")).select("class", F.explode("keys").alias("key"))
+    banded = common.stage(banded, "bands")
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("class").alias("x"), F.bit_xor(F.xxhash64("class")).alias("y")).filter("n > 1")
+    # of keys that the same classes share, one; crowds are split into chunk pairs
+    shared = shared.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
+    members = banded.join(shared, "key").withColumn("mine", F.pmod(F.xxhash64("class", F.lit(7)), F.col("chunks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.greatest(o, F.col("mine")) * F.col("chunks") + F.least(o, F.col("mine")))
+    members = members.withColumn("cell", F.explode(pairs)).select("class", F.xxhash64("key", "cell").alias("key"))
+    sets = shingled.groupBy("class").agg(F.first("shingles").alias("shingles"))
+    grouped = members.join(sets, "class").select("key", "class", "shingles").repartition(F.col("key")).sortWithinPartitions("key", "class")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(held: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
+        sets = [np.frombuffer(x, np.uint32) for _, x in held]
+        sizes = np.array([len(x) for x in sets])
+
+        def close(i: int, others: np.ndarray) -> np.ndarray:
+            own, size, out = sets[i], sizes[i], np.zeros(len(others), bool)
+            fit = np.flatnonzero(np.minimum(sizes[others], size) >= similarity * np.maximum(sizes[others], size) - 1e-9)
+            for at in range(0, len(fit), 256):
+                part = fit[at : at + 256]
+                flat, n = np.concatenate([sets[j] for j in others[part]]), sizes[others[part]]
+                there = own[np.minimum(np.searchsorted(own, flat), size - 1)] == flat
+                both = np.add.reduceat(there, np.cumsum(n) - n, dtype=np.int64)
+                out[part] = both >= similarity * (n + size - both) - 1e-9
+            return out
+
+        return [(held[i][0], held[j][0]) for i, j in common.spanning_links(close, len(held))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in itertools.chain(batches, [None]):
+            out = []
+            for key, cls, packed in zip(*(c.to_pylist() for c in b.columns)) if b is not None else [(None, None, None)]:
+                if key != now:
+                    out += links(held) if len(held) > 1 else []
+                    now, held = key, []
+                held.append((cls, packed))
+            if out:
+                yield common.batch(dict(zip("ab", zip(*out))), schema)
+
+    return grouped.mapInArrow(run, "a long, b long")
+
+
+def keep_dissimilar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of docs per component of texts whose word shingles are similar: the smallest doc_id's (null
+    first); of several, by the row's hash. Texts without words are alike."""
+    rows = _rows(docs)
+    shingled = common.stage(_shingled(rows), "shingles")
+    roots = common.components(common.stage(similar_links(shingled, similarity), "links"))
+    named = shingled.select("id", "hash", "class").join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
+    first = named.groupBy("root").agg(F.min(F.struct("id", "hash")).alias("first"))
+    first = first.select(F.col("first.id").alias("_id"), F.col("first.hash").alias("_hash"))
+    return rows.join(first, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(docs.columns)

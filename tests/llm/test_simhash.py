@@ -1,3 +1,4 @@
+import corpus_pipeline
 import xxhash
 
 from quadframe.llm import simhash_dedup as S
@@ -95,3 +96,30 @@ def test_shared_ids_link_no_components(spark):
     # both fingerprints of id 9 have it as their smallest; only the first is near id 2's
     rows = [(9, texts[0]), (9, texts[1]), (10, texts[1] + " tail"), (2, texts[0] + " tail"), (None, texts[2]), (None, texts[2] + " tail")]
     assert sorted(map(tuple, S.near_duplicates(cases.docs(spark, rows)).collect()), key=str) == brute(rows)
+
+
+def test_stage_by_shingle_similarity(spark):
+    def changed(text, n):
+        words = text.split()
+        for k in range(n):
+            words[10 + 25 * k] = f"new{k}"
+        return " ".join(words)
+
+    def similarity(x, y):
+        a, b = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (x, y))
+        return len(a & b) / len(a | b)
+
+    rows, want = [], []
+    for i in range(30):
+        text = cases.prose(200 + i, 200)
+        near, far = changed(text, 4), changed(cases.prose(300 + i, 200), 6)
+        assert similarity(text, near) >= 0.8 > similarity(cases.prose(300 + i, 200), far)
+        rows += [(4 * i, text), (4 * i + 1, near), (4 * i + 2, cases.prose(300 + i, 200)), (4 * i + 3, far)]
+        want += [4 * i, 4 * i + 2, 4 * i + 3]
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, cases.docs(spark, rows), "").collect()) == want
+    shingled = S._shingled(S._rows(cases.docs(spark, rows)))
+    assert S.similar_links(shingled, chunk=1).distinct().count() == S.similar_links(shingled).distinct().count() == 30
+    texts = [cases.prose(100 + i, 120) for i in range(4)]
+    rows = [(None, t) for t in texts] + [(1, texts[0] + " tail"), (None, None), (3, " ")]
+    kept = S.keep_dissimilar(cases.docs(spark, rows)).collect()
+    assert sorted(r.text for r in kept if r.text) == sorted(texts) and len(kept) == 5

@@ -81,7 +81,7 @@ def test_traversal_is_in_order():
 
 
 def test_every_length_is_searched(spark, monkeypatch):
-    monkeypatch.setattr(V, "SMALL", 50)
+    monkeypatch.setattr(V, "SMALL", 50, raising=False)
     r = np.random.default_rng(7)
     data, linked = [], {}
     for size, groups in ((8, 50), (12, 40), (5, 6), (3, 1)):  # the most frequent, one with an index of its own, two compared in full
