@@ -32,21 +32,30 @@ MAX_ITEMS = 400_000
 def pieces(docs: DataFrame, vocabulary: str, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of the encoded documents; `task` and `nth` number the pieces of one length within a task."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("nth", pa.int64())])
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen, task = tokens.encoder(vocabulary).encode, np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        encoder, seen, task = tokens.encoder(vocabulary), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for b in batches:
-            rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = encode(text.as_py() or "") + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    n = len(part) // 4
-                    rows.append((doc, k, at // 4, n, zlib.crc32(part), task, int(seen[n])))
-                    seen[n] += 1
-            if rows:
-                yield common.batch(dict(zip(schema.names, zip(*rows))), schema)
+            at = 0
+            for ids, ends in encoder.encode(b.column(1), end_id):
+                begin = np.concatenate([[0], ends[:-1]])
+                n_pieces = -(-(ends - begin) // capacity)
+                owner = np.repeat(np.arange(len(ends)), n_pieces)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
+                start = piece * capacity
+                length = np.minimum(capacity, (ends - begin)[owner] - start)
+                low = begin[owner] + start
+                raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+                crc = [zlib.crc32(raw[4 * i : 4 * (i + n)]) for i, n in zip(low.tolist(), length.tolist())]
+                order = np.argsort(length, kind="stable")
+                first = np.flatnonzero(np.diff(length[order], prepend=-1))
+                nth = np.empty(len(order), np.int64)
+                nth[order] = np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order)))
+                nth += seen[length]
+                seen += np.bincount(length, minlength=capacity + 1)
+                doc = b.column(0).slice(at, len(ends)).take(pa.array(owner))
+                at += len(ends)
+                yield pa.RecordBatch.from_arrays([doc, pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array(np.full(len(owner), task, np.int32)), pa.array(nth)], schema=schema)
 
     common.ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long")

@@ -34,34 +34,36 @@ def file_schema(sequence: int, id_type: pa.DataType) -> pa.Schema:
 
 
 class Writer:
-    """Appends ids (little-endian 32-bit integers) to one file, a full batch at a time."""
+    """Appends ids to one file, a full batch at a time."""
 
     def __init__(self, uri: str, sequence: int = SEQUENCE, batch_sequences: int = BATCH_SEQUENCES, id_bits: int = 16):
         self.fs, self.path = pafs.FileSystem.from_uri(uri)
         self.part = f"{self.path}.{uuid.uuid4().hex}.tmp"
-        self.sequence, self.full, self.held, self.n = sequence, sequence * batch_sequences, bytearray(), 0
+        self.sequence, self.full, self.held, self.n = sequence, sequence * batch_sequences, np.empty(0, np.uint32), 0
         self.id_type = pa.uint16() if id_bits == 16 else pa.uint32()
         self.fs.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
         self.sink = self.fs.open_output_stream(self.part)
         self.schema = file_schema(sequence, self.id_type)
         self.file = pa.ipc.new_file(self.sink, self.schema)
 
-    def _flush(self, size: int, used: int) -> None:
-        ids = np.zeros(size, self.id_type.to_pandas_dtype())
-        ids[:used] = np.frombuffer(bytes(self.held[: 4 * used]), "<u4")
-        columns = (pa.array(ids), pa.array(np.arange(size) < used))
+    def _flush(self, ids: np.ndarray, size: int) -> None:
+        """Write a batch of size ids, filled up under a zero mask."""
+        padded = np.zeros(size, self.id_type.to_pandas_dtype())
+        padded[: len(ids)] = ids
+        columns = (pa.array(padded), pa.array(np.arange(size) < len(ids)))
         self.file.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(c, type=f.type) for c, f in zip(columns, self.schema)], schema=self.schema))
-        del self.held[: 4 * used]
 
-    def add(self, ids: bytes) -> None:
-        self.held += ids
-        self.n += len(ids) // 4
-        while len(self.held) >= 4 * self.full:
-            self._flush(self.full, self.full)
+    def add(self, ids: np.ndarray) -> None:
+        self.n += len(ids)
+        ids = np.concatenate([self.held, ids])
+        whole = len(ids) - len(ids) % self.full
+        for i in range(0, whole, self.full):
+            self._flush(ids[i : i + self.full], self.full)
+        self.held = ids[whole:].copy()
 
     def close(self) -> None:
-        if used := len(self.held) // 4:
-            self._flush(-(-used // self.sequence) * self.sequence, used)
+        if len(self.held):
+            self._flush(self.held, -(-len(self.held) // self.sequence) * self.sequence)
         self.file.close()
         self.sink.close()
         self.fs.move(self.part, self.path)
@@ -101,21 +103,20 @@ class Reader:
 def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = END_ID, sequence: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the files into folder (a URI all executors share); returns the index: doc_id, file, at (first
     id's place in the file), n_tokens, in file order. Rows of one id lie in order of their text's hash."""
-    vocabulary, end = vocabulary or tokens.public_path(VOCABULARY), np.array([end_id], "<u4").tobytes()
+    vocabulary = vocabulary or tokens.public_path(VOCABULARY)
     schema = pa.schema([("doc_id", pa.int64()), ("file", pa.int32()), ("at", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task, out = tokens.encoder(vocabulary), TaskContext.get().partitionId(), None
-        encode, bits = encoder.encode, 16 if max(encoder.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else 32
+        bits = 16 if max(encoder.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else 32
         for b in batches:
-            rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+            at = 0
+            for ids, ends in encoder.encode(b.column(1), end_id):
                 out = out or Writer(f"{folder}/{task:06d}.arrow", sequence, id_bits=bits)
-                ids = encode(text.as_py() or "") + end
-                rows.append((doc, task, out.n, len(ids) // 4))
+                begin = np.concatenate([[0], ends[:-1]])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(ends)), pa.array(np.full(len(ends), task, np.int32)), pa.array(out.n + begin), pa.array(ends - begin)], schema=schema)
                 out.add(ids)
-            if rows:
-                yield common.batch(dict(zip(schema.names, zip(*rows))), schema)
+                at += len(ends)
         if out:
             out.close()
 
