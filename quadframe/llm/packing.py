@@ -1,12 +1,12 @@
 """Sum-of-squares packing of tokenised documents into fixed-length training sequences.
 
-Only the histogram of piece lengths (at most `capacity` numbers) reaches the driver. There the
-sum-of-squares rule places one piece at a time: of all open gaps and a new sequence, it takes the one
-after which the sum over gaps of (open sequences with that gap) squared is smallest. Large histograms are
-packed by powers of two: a level places each length's binary digit once, standing for 2^level pieces and
-sequences, and hands its open sequences to the next level, so the plan stays at MAX_ITEMS steps plus
-`capacity` per level for any input. The plan's slots are dealt out to pieces by their rank among pieces of
-equal length, which every task knows from counts per task and length.
+Only the histogram of piece lengths (at most `capacity` numbers) reaches the driver. There the pieces of each
+length are placed in at most GROUPS equal groups (piece by piece where there are no more), in random order.
+Of all open gaps and a new sequence, a group takes the one after which the sum over gaps of (open sequences
+with that gap) squared grows least per piece; what does not fit there is placed on. So the plan has at most
+GROUPS * `capacity` groups for any input, and where the pieces lie in it is a few numbers for each. Its
+slots are dealt out to pieces by their rank among pieces of equal length, which every task knows from counts
+per task and length.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from . import common, tokens
 CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Most pieces that the first level of the plan places one by one.
-MAX_ITEMS = 400_000
+#: Groups in which the pieces of one length are placed; more give fewer sequences and a longer plan.
+GROUPS = 32
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,52 +61,52 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = END_ID, capacity: int
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long")
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, max_items: int = MAX_ITEMS, seed: int = 1) -> np.ndarray:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, seed: int = 1) -> np.ndarray:
     """Slots as rows (length, base, copies, offset): `copies` pieces of that length lie at `offset` in
     sequences base .. base + copies - 1. Every piece has one slot; no sequence holds over `capacity`."""
     h = np.zeros(capacity + 1, np.int64)
     for n, count in histogram.items():
         h[n] = count
-    slots, base = [], 0
-    if h[capacity]:
-        slots.append((capacity, 0, int(h[capacity]), 0))
-        base, h[capacity] = int(h[capacity]), 0
-    level = 0
-    while (h >> level).sum() > max_items:
-        level += 1
-    gaps: list[list[int]] = [[] for _ in range(capacity + 1)]  # bases of open sequences by what is free
-    order = np.random.default_rng(seed)
-    for k in range(level, -1, -1):
-        count = (h >> k) if k == level else (h >> k) & 1
-        copies = 1 << k
-        if k < level:
-            gaps = [[x for b in g for x in (b, b + copies)] for g in gaps]
-        open_now = np.array([len(g) for g in gaps], np.int64)
-        items = np.repeat(np.arange(capacity + 1), count)
-        if k == level:
-            order.shuffle(items)
-        else:
-            items = items[::-1]
-        for n in items.tolist():
-            cost = 2 * (open_now[: capacity + 1 - n] - open_now[n:]) + 2
-            cost[0] = 1 - 2 * open_now[n]
-            cost[open_now[n:] == 0] = 1 << 62
-            cost[capacity - n] = 2 * open_now[capacity - n] + 1
-            left = int(cost.argmin())
+    slots = [(capacity, 0, int(h[capacity]), 0)] if h[capacity] else []
+    base, h[capacity] = int(h[capacity]), 0
+    parts = np.minimum(h, groups)
+    length = np.repeat(np.arange(capacity + 1), parts)
+    nth = np.arange(len(length)) - np.repeat(np.cumsum(parts) - parts, parts)
+    size = (nth + 1) * h[length] // parts[length] - nth * h[length] // parts[length]
+    gaps: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # runs (base, copies) of open sequences by what is free
+    open_now = np.zeros(capacity + 1, np.int64)
+    order = np.random.default_rng(seed).permutation(len(length))
+    for n, rest in zip(length[order].tolist(), size[order].tolist()):
+        while rest:
+            there = np.minimum(open_now[n:], rest)  # as many as each gap takes; entry i leaves a gap of i
+            growth = 2.0 * (open_now[: capacity + 1 - n] - open_now[n:] + there)
+            growth[0] = there[0] - 2.0 * open_now[n]
+            growth[there == 0] = np.inf
+            growth[capacity - n] = 2.0 * open_now[capacity - n] + rest
+            left = int(growth.argmin())
             gap = left + n
+            took = []
             if gap == capacity:
-                at, base = base, base + copies
+                took.append((base, rest))
+                base, placed = base + rest, rest
             else:
-                at = gaps[gap].pop()
-                open_now[gap] -= 1
-            slots.append((n, at, copies, capacity - gap))
+                placed = want = int(there[left])
+                while want:
+                    at, copies = gaps[gap].pop()
+                    if copies > want:
+                        gaps[gap].append((at, copies - want))
+                    took.append((at + max(0, copies - want), min(copies, want)))
+                    want -= took[-1][1]
+                open_now[gap] -= placed
+            slots += [(n, at, copies, capacity - gap) for at, copies in took]
             if left:
-                gaps[left].append(at)
-                open_now[left] += 1
+                gaps[left] += took
+                open_now[left] += placed
+            rest -= placed
     return np.array(slots, np.int64).reshape(-1, 4)
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", max_items: int = MAX_ITEMS) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", groups: int = GROUPS) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is the end id alone; repeated rows are packed each; a null doc_id is kept as
@@ -115,7 +115,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, c
     spark = docs.sparkSession
     own = common.stage(pieces(docs, vocabulary or tokens.public_path(VOCABULARY), end_id, capacity, id_col, text_col), "pieces")
     per_task = common.stage(own.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "lengths")
-    slots = plan(dict(map(tuple, per_task.groupBy("length").agg(F.sum("n")).collect())), capacity, max_items)
+    slots = plan(dict(map(tuple, per_task.groupBy("length").agg(F.sum("n")).collect())), capacity, groups)
     slots = slots[np.argsort(slots[:, 0], kind="stable")]
     cumulative = np.cumsum(slots[:, 2]) - slots[:, 2]
     first = np.searchsorted(slots[:, 0], slots[:, 0])
