@@ -14,10 +14,8 @@ from .. import staging
 from ..ship import ship
 from ..staging import shared_dir, unstage
 
-__all__ = ["batch", "bloom", "byte_list", "components", "heavy_slots", "in_bloom", "new_path", "popcount", "shared_dir", "ship", "spanning_links", "stage", "unstage"]
+__all__ = ["batch", "bloom", "byte_list", "components", "hot_keys", "in_bloom", "new_path", "plain_names", "popcount", "shared_dir", "ship", "spanning_links", "stage", "unstage", "unused"]
 
-#: Slots of the count sketch that finds hot keys; its size bounds what reaches the driver.
-SKETCH_SLOTS = 1 << 16
 #: Stands in for a null id inside an operator: sorts before every real id.
 NULL_ID = -(1 << 63)
 
@@ -31,13 +29,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return staging.stage(df, f"llm-{name}")
 
 
-def heavy_slots(df: DataFrame, slot: str, limit: int) -> dict[int, int]:
-    """Slots of a bounded count sketch with more than `limit` rows (or four times the mean), and into
-    how many chunks to split each. At most SKETCH_SLOTS entries, whatever the input."""
-    counts = df.groupBy(slot).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).collect()[0][0] or 0
-    limit = max(limit, 4 * total // SKETCH_SLOTS)
-    return {r[0]: -(-r[1] // limit) for r in counts.filter(F.col("n") > limit).collect()}
+def hot_keys(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """(key, chunks) of the keys with more than `limit` rows: into how many chunks of at most that many to
+    split each. Counts are summed where the rows lie, and nothing reaches the driver."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
+    return counts.select(key, F.ceil(F.col("n") / limit).cast("int").alias("chunks"))
+
+
+def plain_names(df: DataFrame) -> DataFrame:
+    """df with its columns called by number, as mapInArrow() cannot take a name with a dot."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df has not."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:

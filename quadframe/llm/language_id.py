@@ -177,7 +177,12 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
 
 
 def accepted(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """docs without the rows that are `und` or score under min_score; lang becomes the prediction."""
+    """docs without the rows that are `und` or score under min_score; lang becomes the prediction.
+
+    So null, empty and letterless texts go, and every row where no label is left to learn from. Repeated rows
+    are decided alike; a null id is an id; an empty table gives no rows. Other columns may have any names and
+    are kept.
+    """
     common.ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
     names = docs.columns
@@ -191,4 +196,4 @@ def accepted(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
             keep = pa.array([f[0] != UNKNOWN and f[1] >= min_score for f in found], pa.bool_())
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.plain_names(docs).mapInArrow(run, docs.schema)

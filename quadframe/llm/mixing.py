@@ -118,14 +118,19 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_passes: i
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs' rows, each repeated as often as the mixture takes it, to the nearest whole time. Of rows
-    that share an id, each is repeated as its own size is."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    """docs' rows, each repeated as often as the mixture takes it, to the nearest whole time.
+
+    Of rows that share an id, each is repeated as its own size is. Rows without words, null and empty texts
+    among them, go; a null source is a source of its own; a null id is an id. An empty table gives no rows.
+    Other columns may have any names and are kept.
+    """
+    at, source, size, words, times, nth = common.unused(docs, "_id", "_source", "_size", "_words", "_times", "_nth")
+    own = docs.withColumn(size, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     per_doc, _ = mixture(docs, **options)
-    times = per_doc.filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.floor(F.col("taken") / F.col("size") + 0.5).alias("_times"))
-    times = times.groupBy("_id", "_source", "_size").agg(F.max("_times").alias("_times")).filter("_times > 0")
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (size == F.col("_size")))
-    return joined.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    taken = per_doc.filter("taken > 0").select(F.col("doc_id").alias(at), F.col("source").alias(source), F.col("size").alias(words), F.floor(F.col("taken") / F.col("size") + 0.5).alias(times))
+    taken = taken.groupBy(at, source, words).agg(F.max(times).alias(times)).filter(F.col(times) > 0)
+    joined = own.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col(at)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(size) == F.col(words)))
+    return joined.withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*[f"`{c}`" for c in docs.columns])
 
 
 ORACLE = r"""

@@ -88,16 +88,13 @@ def blocks_for(n: int, distance: int) -> int:
 def close_pairs(classes: DataFrame, distance: int = DISTANCE, blocks: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """classes: (fp, rep) with distinct fp. Returns (a, b) of reps whose links connect exactly the
     fingerprints that `distance` bits connect."""
-    spark = classes.sparkSession
     blocks = blocks or blocks_for(classes.count(), distance)
     masks = F.array(*[F.lit(_signed(m)) for m in key_masks(distance, blocks)])
     keyed = classes.select("fp", "rep", F.posexplode(masks).alias("t", "mask"))
     keyed = keyed.select("fp", "rep", F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
-    keyed = keyed.withColumn("slot", F.shiftright("key", 48).cast("int"))
-    heavy = common.heavy_slots(keyed, "slot", chunk)
-    if heavy:
-        table = spark.createDataFrame(list(heavy.items()), "slot int, chunks int")
-        keyed = keyed.join(F.broadcast(table), "slot", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    hot = common.stage(common.hot_keys(keyed, "key", chunk), "hotkeys")
+    if not hot.isEmpty():
+        keyed = keyed.join(hot, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
         mine = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")).cast("int")
         pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.greatest(o, F.col("mine")) * F.col("chunks") + F.least(o, F.col("mine")))
         keyed = keyed.withColumn("mine", mine).withColumn("cell", F.explode(pairs)).withColumn("key", F.xxhash64("key", "cell"))
@@ -159,19 +156,30 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "do
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), back.alias("component_id"))
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """docs with the two longs _id (null first) and _hash that tell rows apart, equal rows excepted."""
-    rest = [c for c in docs.columns if c != "doc_id"]
-    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID))).withColumn("_hash", F.xxhash64("text", *rest))
+def _rows(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with two more longs that tell rows apart, equal rows excepted, and their names: the id (null
+    first) and a hash of all columns. Columns of types that have no hash count as their JSON."""
+    at, mark = common.unused(docs, "_id", "_hash")
+    rest = [F.to_json(F.struct(f"`{c}`")) if "map<" in kind or kind == "variant" else F.col(f"`{c}`") for c, kind in docs.dtypes if c != "doc_id"]
+    return docs.withColumn(at, F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID))).withColumn(mark, F.xxhash64("text", *rest)), at, mark
+
+
+def _first_rows(rows: DataFrame, at: str, mark: str, named: DataFrame, columns: list[str]) -> DataFrame:
+    """named: (id, hash, root). The first row of each root by id and hash, once where equal rows repeat."""
+    first = named.groupBy("root").agg(F.min(F.struct("id", "hash")).alias("first")).select(F.col("first.id").alias(at), F.col("first.hash").alias(mark))
+    return rows.join(first, [at, mark], "left_semi").dropDuplicates([at, mark]).select(*[f"`{c}`" for c in columns])
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """One row of docs per component: the smallest doc_id's (null first); of several, by the row's hash."""
-    rows = _rows(docs)
-    fps = common.stage(fingerprints(rows, "_id", "text", "_hash"), "fps")
-    first = fps.join(_components(fps, distance), "fp").groupBy("root").agg(F.min(F.struct("id", "hash")).alias("first"))
-    first = first.select(F.col("first.id").alias("_id"), F.col("first.hash").alias("_hash"))
-    return rows.join(first, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(docs.columns)
+    """One row of docs per component of near-duplicates(): the smallest doc_id's; of several, by the row's hash.
+
+    A null doc_id comes first; rows that share an id are judged each; equal rows are copies. Null, empty and
+    wordless texts have fingerprint 0 and are near one another. An empty table gives no rows. Other columns
+    may have any names and are kept.
+    """
+    rows, at, mark = _rows(docs)
+    fps = common.stage(fingerprints(rows, at, "text", mark), "fps")
+    return _first_rows(rows, at, mark, fps.join(_components(fps, distance), "fp"), docs.columns)
 
 
 def shingle_set(text: bytes, words_per_shingle: int = KEEP_WORDS) -> np.ndarray:
@@ -196,7 +204,7 @@ def band_keys(shingles: np.ndarray) -> list[int]:
 
 
 def _shingled(rows: DataFrame) -> DataFrame:
-    """(id, hash, class, keys, shingles) per row of _rows(); texts of one set of shingles are one class."""
+    """(id, hash, class, keys, shingles) per row (id, hash, text); texts of one set of shingles are one class."""
     types = {"id": pa.int64(), "hash": pa.int64(), "class": pa.int64(), "keys": pa.list_(pa.int64()), "shingles": pa.binary()}
     schema = pa.schema(list(types.items()))
 
@@ -208,7 +216,7 @@ def _shingled(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:2], *(pa.array(m, type=t) for m, t in zip(made, list(types.values())[2:]))], schema=schema)
 
     common.ship(rows.sparkSession)
-    return rows.select("_id", "_hash", "text").mapInArrow(run, "id long, hash long, class long, keys array<long>, shingles binary")
+    return rows.mapInArrow(run, "id long, hash long, class long, keys array<long>, shingles binary")
 
 
 def similar_links(shingled: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
@@ -258,12 +266,15 @@ def similar_links(shingled: DataFrame, similarity: float = SIMILARITY, chunk: in
 
 
 def keep_dissimilar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of docs per component of texts whose word shingles are similar: the smallest doc_id's (null
-    first); of several, by the row's hash. Texts without words are alike."""
-    rows = _rows(docs)
-    shingled = common.stage(_shingled(rows), "shingles")
+    """One row of docs per component of texts whose word shingles are similar: the smallest doc_id's; of
+    several, by the row's hash.
+
+    A null doc_id comes first; rows that share an id are judged each; equal rows are copies. Null, empty and
+    wordless texts are alike; shorter texts than a shingle are one shingle of all their words. An empty table
+    gives no rows. Other columns may have any names and are kept.
+    """
+    rows, at, mark = _rows(docs)
+    shingled = common.stage(_shingled(rows.select(at, mark, "text")), "shingles")
     roots = common.components(common.stage(similar_links(shingled, similarity), "links"))
     named = shingled.select("id", "hash", "class").join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
-    first = named.groupBy("root").agg(F.min(F.struct("id", "hash")).alias("first"))
-    first = first.select(F.col("first.id").alias("_id"), F.col("first.hash").alias("_hash"))
-    return rows.join(first, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(docs.columns)
+    return _first_rows(rows, at, mark, named, docs.columns)

@@ -4,10 +4,10 @@ A passage of `length` bytes is judged by every text position that starts one. So
 needed: in each window of that length, the 32-byte gram with the smallest hash is its anchor, so equal
 passages have equal anchors at equal offsets, and only anchors whose gram occurs twice can matter.
 1. Count anchor grams; the repeated ones go into a Bloom filter of bounded size (a false hit only costs a
-   row) and a bounded count sketch shows which grams are hot.
+   row). Those with more rows than a part should get, at most one for each so many rows, are hot.
 2. Each task sorts the suffixes at its repeated anchors and writes them as runs, front-coded: the length
    of the prefix shared with the suffix before, and the rest. Runs are exchanged by the anchor's gram;
-   a hot gram is dealt out over several chunks.
+   a hot gram's places are dealt out over several chunks.
 3. Each part merges its runs with a loser tree that carries known common prefixes: suffixes are ordered by
    them and compared only beyond them. The merge yields the order and its common prefixes, which, with
    those of the bytes to the left, say which passages are equal; all but the first place is removed.
@@ -215,16 +215,16 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     n_dup, total = dup.agg(F.count("h"), F.coalesce(F.sum("n"), F.lit(0))).collect()[0]
     bits, filled = common.bloom(dup, n_dup, BLOOM_BITS)
     limit = min(max(4096, total // 256), PART)
-    slots = dup.groupBy(F.shiftright("h", 48).alias("slot")).agg(F.sum("n").alias("n"))
-    limit = max(limit, 4 * total // common.SKETCH_SLOTS)
-    heavy = {s & 0xFFFF: -(-n // limit) for s, n in slots.filter(F.col("n") > limit).collect()}
+    # at most total / limit grams, 12 bytes each
+    heavy = sorted((h & 0xFFFFFFFFFFFFFFFF, -(-n // limit)) for h, n in dup.filter(F.col("n") > limit).collect())
     common.unstage(dup)
     parts = int(max(256, total // PART))
-    table = sc.broadcast((filled, np.array([heavy.get(s, 1) for s in range(1 << 16)], np.int64)))
+    # the last row is no gram's, so that every search ends at some row
+    table = sc.broadcast((filled, np.array([h for h, _ in heavy] + [0xFFFFFFFFFFFFFFFF], np.uint64), np.array([n for _, n in heavy] + [1], np.int32)))
     run_schema = pa.schema([("part", pa.int32()), ("meta", pa.binary()), ("rests", pa.binary()), ("lefts", pa.binary())])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled, chunks = table.value
+        filled, hot, chunks = table.value
         suffixes: list[bytes] = []
         lefts: list[bytes] = []
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -252,8 +252,10 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 place, lo, hi, h = place[hit], lo[hit], hi[hit], h[hit]
                 if not len(place):
                     continue
-                n_chunks = chunks[(h >> np.uint64(48)).astype(np.int64)]
-                chunk = (np.uint64(xxhash.xxh64_intdigest(int(doc).to_bytes(8, "little", signed=True), 1)) % n_chunks.astype(np.uint64))
+                row = np.searchsorted(hot, h)
+                n_chunks = np.where(hot[row] == h, chunks[row], 1)
+                at = np.uint64((doc + 1) * 0xFF51AFD7ED558CCD & 0xFFFFFFFFFFFFFFFF) ^ place.astype(np.uint64) * np.uint64(0xC4CEB9FE1A85EC53)
+                chunk = ((at ^ (at >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % n_chunks.astype(np.uint64)
                 mixed = (h ^ (chunk + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
                 meta = np.zeros(len(place), _META)
                 meta["doc"], meta["dk"], meta["pos"], meta["lo"], meta["hi"], meta["heavy"] = doc, dk, place, lo, hi, n_chunks > 1
@@ -324,11 +326,12 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def _joined(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
-    """docs with _spans, the list of (s, e) to remove."""
-    own = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(common.NULL_ID))).withColumn("_dk", F.xxhash64(F.col(text_col)))
-    found = spans(own.select(F.col("_id").alias("id"), F.col("_dk").alias("dk"), F.col(text_col).alias("text")), length)
-    lists = found.groupBy(F.col("doc").alias("_doc"), F.col("dk").alias("_of")).agg(F.collect_list(F.struct("s", "e")).alias("_spans"))
-    return own.join(lists, (F.col("_id") == F.col("_doc")) & (F.col("_dk") == F.col("_of")), "left").drop("_id", "_dk", "_doc", "_of")
+    """docs and, as the last column, the list of (s, e) to remove."""
+    at, mark, spans_name = common.unused(docs, "_id", "_dk", "_spans")
+    own = docs.withColumn(at, F.coalesce(F.col(id_col).cast("long"), F.lit(common.NULL_ID))).withColumn(mark, F.xxhash64(F.col(text_col)))
+    found = spans(own.select(F.col(at).alias("id"), F.col(mark).alias("dk"), F.col(text_col).alias("text")), length)
+    lists = found.groupBy(F.col("doc").alias(at), F.col("dk").alias(mark)).agg(F.collect_list(F.struct("s", "e")).alias(spans_name))
+    return own.join(lists, [at, mark], "left").select(*[f"`{c}`" for c in docs.columns], spans_name)
 
 
 def cut(text: bytes, found: list) -> tuple[bytes, int]:
@@ -371,7 +374,12 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
 
 def deduplicated_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with the repeated passages cut from `text` and n_chars counted again. Characters of which only
-    a part is left go too; documents of which only white space is left after a cut are dropped."""
+    a part is left go too; documents of which only white space is left after a cut are dropped.
+
+    A null text stays null and nothing repeats in it; a null id comes first; rows that share an id share one
+    place in the order, so repeated rows are cut alike and none of them goes. An empty table gives no rows.
+    Other columns may have any names and are kept.
+    """
     schema = docs.schema
     names = docs.columns
     at = names.index("text")
@@ -395,4 +403,4 @@ def deduplicated_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 columns[k] = pa.array(changed, columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
-    return _joined(docs, length, "doc_id", "text").mapInArrow(run, schema)
+    return common.plain_names(_joined(docs, length, "doc_id", "text")).mapInArrow(run, schema)

@@ -8,8 +8,8 @@ def docs(spark, rows, extra=False):
     full = [(r[0], r[1], r[2] if len(r) > 2 else None, r[3] if len(r) > 3 else None, len(r[1]) if r[1] else None) for r in rows]
     df = spark.createDataFrame(full, SCHEMA)
     if extra:
-        for name in ("id", "rep", "key", "fp", "node", "root", "size", "h", "start", "slot", "component", "length", "bin"):
-            df = df.selectExpr("*", f"'x' AS {name}")
+        for name in ("id", "rep", "key", "fp", "node", "root", "size", "h", "start", "slot", "component", "length", "bin", "_id", "_hash", "_dk", "_DOC", "_of", "_spans", "_source", "_size", "_words", "_times", "_nth", "_kept_id", "a.b"):
+            df = df.selectExpr("*", f"'x' AS `{name}`")
     return df
 
 

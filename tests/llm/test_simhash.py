@@ -117,7 +117,7 @@ def test_stage_by_shingle_similarity(spark):
         rows += [(4 * i, text), (4 * i + 1, near), (4 * i + 2, cases.prose(300 + i, 200)), (4 * i + 3, far)]
         want += [4 * i, 4 * i + 2, 4 * i + 3]
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, cases.docs(spark, rows), "").collect()) == want
-    shingled = S._shingled(S._rows(cases.docs(spark, rows)))
+    shingled = S._shingled(S._rows(cases.docs(spark, rows))[0].select("_id", "_hash", "text"))
     assert S.similar_links(shingled, chunk=1).distinct().count() == S.similar_links(shingled).distinct().count() == 30
     texts = [cases.prose(100 + i, 120) for i in range(4)]
     rows = [(None, t) for t in texts] + [(1, texts[0] + " tail"), (None, None), (3, " ")]
