@@ -250,9 +250,15 @@ def _strdt(a: V, dt: V) -> V:
     return V("lit", ok, F.concat(F.lit("^^<"), lexical(dt), F.lit(">")))
 
 
+def utf16(code: Column) -> Column:
+    """The one or two UTF-16 units of a character's code, as an array."""
+    beyond = code - 0x10000
+    return F.when(code > 0xFFFF, F.array(F.shiftright(beyond, 10) + 0xD800, beyond.bitwiseAND(F.lit(0x3FF)) + 0xDC00)).otherwise(F.array(code))
+
+
 def _fork_hash(v: V) -> Column:
-    """The 32-bit string hash of a term's text: for each character, h = 31 h + code, wrapping."""
-    codes = F.transform(F.split(lexical(v), ""), lambda c: F.ascii(c).cast("long"))
+    """The 32-bit string hash of a term's text: for each UTF-16 unit, h = 31 h + unit, wrapping."""
+    codes = F.flatten(F.transform(F.split(lexical(v), ""), lambda c: utf16(F.ascii(c).cast("long"))))
     wrap = lambda x: F.pmod(x + F.lit(2147483648), F.lit(4294967296)) - F.lit(2147483648)
     return F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: wrap(h * 31 + c))
 

@@ -10,14 +10,19 @@ from ..terms import IRI, BNode, Literal
 EVENTS = "s string, p string, o string, g string, ts long, op string"
 
 
-def order_of(ts: str = "ts", op: str = "op") -> Column:
-    """At one time, an insert beats a delete."""
-    return F.col(ts) * 2 + F.when(F.col(op) == "insert", 1).otherwise(0)
+#: At one time, an insert beats a delete, and a deletion of what was inserted then beats both.
+DELETE, INSERT, UNDO = 0, 1, 2
+
+
+def order_of(ts: str = "ts", op: str = "op", rank: Column | None = None) -> Column:
+    """Place in the order of operations: the time, and at one time the rank."""
+    own = F.when(F.col(op) == "insert", INSERT).otherwise(DELETE)
+    return F.struct(F.col(ts), own if rank is None else F.coalesce(rank, own))
 
 
 def latest(events: DataFrame, keys: list[str]) -> DataFrame:
     """The last operation per key, by partial aggregation: no key's events meet unreduced."""
-    rank = F.coalesce(F.col("rank"), order_of()) if "rank" in events.columns else order_of()
+    rank = order_of(rank=F.col("rank").cast("int") if "rank" in events.columns else None)
     return events.groupBy(*keys).agg(F.max_by("op", rank).alias("op"), F.max("ts").alias("ts"))
 
 
@@ -44,8 +49,8 @@ def bulk_delete(quads: DataFrame, **pattern) -> DataFrame:
 
 def delete_events(events: DataFrame, **pattern) -> DataFrame:
     """Deletions at the times of the inserts that they hit: they win over these, and a later insert over
-    them. `rank` is the place in the order of operations."""
+    them. `rank`, where it is not null, is the operation's place among those of its time."""
     hit = events.filter((F.col("op") == "insert") & matching(events, **pattern))
     hit = hit.groupBy("s", "p", "o", "g").agg(F.max("ts").alias("ts"))
-    gone = hit.select("s", "p", "o", "g", "ts", F.lit("delete").alias("op"), (F.col("ts") * 2.0 + 1.5).alias("rank"))
-    return events.withColumn("rank", order_of().cast("double")).unionByName(gone)
+    gone = hit.select("s", "p", "o", "g", "ts", F.lit("delete").alias("op"), F.lit(UNDO).alias("rank"))
+    return events.withColumn("rank", F.col("rank").cast("int") if "rank" in events.columns else F.lit(None).cast("int")).unionByName(gone)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import re
 from collections.abc import Callable
 from dataclasses import replace
 from typing import Any
@@ -14,6 +15,7 @@ from ..functions import library as L
 from ..functions.values import V, arithmetic, compare, constant, ebv, is_literal, is_plain, lexical, null, number, rank, sort_keys, to_term
 from ..operators import paths
 from ..sources.dataset import Dataset, MappedTable
+from ..staging import stage
 from ..terms import NIL, QF, RDF, XSD, BNode, IRI, Literal, Var
 from .algebra import BGP, Distinct, E, Extend, External, Filter, Group, Intersect, Join, LeftJoin, Minus, Node, OrderBy, Path, Pattern, Project, Query, Reduced, Service, Slice, Union, Unit, Values, used, variables
 from .cardinality import Statistics, fork_variables, ordered
@@ -246,36 +248,55 @@ class Compiler:
         shared = [n for n in a.lanes if n in b.lanes]
         if any(never(a.lanes[n], b.lanes[n]) and not (a.lanes[n].null or b.lanes[n].null) for n in shared):
             return self.nothing(set(a.lanes) | set(b.lanes))
-        loose = [n for n in shared if self.is_loose(a.lanes[n], b.lanes[n])]
-        if len(loose) == 1 and a.lanes[loose[0]].null != b.lanes[loose[0]].null:
-            # one side may be unbound: bound rows by equality, the others without it; both stay hash joins
-            n = loose[0]
-            left = a if a.lanes[n].null else b
-            other = b if left is a else a
-            lane = left.lanes[n]
-            bound = Rel(left.df.filter(F.col(lane.col).isNotNull()), left.lanes | {n: replace(lane, null=False)})
-            unbound = Rel(left.df.filter(F.col(lane.col).isNull()), {k: v for k, v in left.lanes.items() if k != n}).renamed()
-            copy = other.renamed()
-            return union([self.join(bound, other), self.join(unbound, copy)])
-        return self.merged(a, b, a.df.join(b.df, self.on(a, b, shared), "inner") if shared else a.df.crossJoin(b.df))
-
-    @staticmethod
-    def is_loose(x: Lane, y: Lane) -> bool:
-        return (x.null and not x.poisoned) or (y.null and not y.poisoned)
+        parts = []
+        for x, free in by_unbound(a, shared):
+            for y, too in by_unbound(b, shared):
+                # columns of their own, as the parts of a side share theirs
+                x, y = (x, y) if x is a and y is b else (x.renamed(), y.renamed())
+                tight = [n for n in shared if n not in free | too]
+                parts.append(self.merged(x, y, x.df.join(y.df, self.on(x, y, tight), "inner") if tight else x.df.crossJoin(y.df)))
+        return union(parts) if len(parts) > 1 else parts[0]
 
     def on(self, a: Rel, b: Rel, shared: list[str]) -> Column:
+        """Equality of shared variables; where one is unbound there is none."""
         out = F.lit(True)
         for k, n in enumerate(shared):
-            x, y = a.lanes[n], b.lanes[n]
-            left, right = pair(x, y)
-            same = F.lit(False) if never(x, y) else left == right
-            if x.null and not x.poisoned:
-                same = same | F.col(x.col).isNull()
-            if y.null and not y.poisoned:
-                same = same | F.col(y.col).isNull()
+            left, right = pair(a.lanes[n], b.lanes[n])
+            same = F.lit(False) if never(a.lanes[n], b.lanes[n]) else left == right
             out = same if k == 0 else out & same
         return out
 
+    def kept(self, a: Rel, b: Rel, shared: list[str], keep: bool, more: Callable[[Rel, Rel], Column] | None = None, bound: bool = False) -> Rel:
+        """Rows of a that are (keep), or are not, compatible with some row of b on shared variables, which
+        either side may leave unbound, and for which more(a, b) holds. bound: with one shared variable bound
+        on both sides at least (MINUS). Every step is an equi-join where a variable is bound on both sides."""
+        parts = []
+        others = by_unbound(b, shared)
+        for x, free in by_unbound(a, shared):
+            rest, hits = x, []
+            for y, too in others:
+                tight = [n for n in shared if n not in free | too]
+                if bound and not tight:
+                    continue
+                cond, other = self.on(rest, y, tight), y.df
+                if more is not None:
+                    cond = (cond & more(rest, y)) if tight else more(rest, y)
+                elif tight:
+                    other = other.select(*[y.lanes[n].col for n in tight]).distinct()
+                else:
+                    other = other.limit(1)  # any row will do
+                if keep:
+                    hits.append(Rel(rest.df.join(other, cond, "left_semi"), x.lanes))
+                if not keep or y is not others[-1][0]:
+                    rest = Rel(rest.df.join(other, cond, "left_anti"), x.lanes)
+            parts += hits if keep else [rest]
+        if not parts:
+            return Rel(a.df.filter(F.lit(False)), a.lanes, a.order)
+        df = parts[0].df
+        for p in parts[1:]:
+            df = df.union(p.df)
+        return Rel(df, a.lanes, a.order)
+
     def merged(self, a: Rel, b: Rel, df: DataFrame, outer: bool = False) -> Rel:
         """Lanes of a join; values of a that may be unbound are filled from b."""
         lanes = dict(a.lanes)
@@ -298,23 +319,35 @@ class Compiler:
     def _leftjoin(self, node: LeftJoin) -> Rel:
         a, b = self.compile(node.left), self.compile(node.right)
         shared = [n for n in a.lanes if n in b.lanes]
-        cond = self.on(a, b, shared)
-        if node.condition is not None:
-            if _has_exists(node.condition):
-                row = fresh()
-                a = Rel(a.df.withColumn(row, F.monotonically_increasing_id()), a.lanes)
-                matched = self.filtered(self.merged(a, b, a.df.join(b.df, cond, "inner")), node.condition)
-                extra = [n for n in matched.lanes if n not in a.lanes or a.lanes[n].null]
-                names = {n: fresh() for n in extra}
-                cols = [F.col(matched.lanes[n].col).alias(col) for n, col in names.items()]
-                right = Rel(matched.df.select(F.col(row).alias(row + "r"), *cols), {n: replace(matched.lanes[n], col=col) for n, col in names.items()})
-                return self.merged(a, right, a.df.join(right.df, F.col(row) == F.col(row + "r"), "left"), outer=True)
-            both = {n: x for n, x in b.lanes.items()} | a.lanes
-            for n in shared:
-                if a.lanes[n].null:
-                    both[n] = b.lanes[n]
-            cond = cond & F.coalesce(ebv(self.value(node.condition, Rel(a.df, both))), F.lit(False))
-        return self.merged(a, b, a.df.join(b.df, cond, "left"), outer=True)
+        if node.condition is not None and _has_exists(node.condition):
+            row = fresh()
+            a = numbered(a, row)
+            carried = Rel(a.df, a.lanes | {f".{row}": Lane("integer", row)})
+            matched = self.filtered(self.join(carried, b), node.condition)
+            row_col = matched.lanes[f".{row}"].col
+            matched = Rel(matched.df, {n: x for n, x in matched.lanes.items() if n != f".{row}"})
+            extra = [n for n in matched.lanes if n not in a.lanes or a.lanes[n].null]
+            names = {n: fresh() for n in extra}
+            cols = [F.col(matched.lanes[n].col).alias(col) for n, col in names.items()]
+            right = Rel(matched.df.select(F.col(row_col).alias(row + "r"), *cols), {n: replace(matched.lanes[n], col=col) for n, col in names.items()})
+            return self.merged(a, right, a.df.join(right.df, F.col(row) == F.col(row + "r"), "left"), outer=True)
+
+        def holds(x: Rel, y: Rel) -> Column:
+            both = y.lanes | {n: lane for n, lane in x.lanes.items() if n not in y.lanes or not lane.null}
+            return F.coalesce(ebv(self.value(node.condition, Rel(x.df, both))), F.lit(False))
+
+        more = holds if node.condition is not None else None
+        if not any(is_loose(r.lanes[n]) for r in (a, b) for n in shared):
+            cond = self.on(a, b, shared)
+            return self.merged(a, b, a.df.join(b.df, cond & more(a, b) if more else cond, "left"), outer=True)
+        matched = []
+        for x, free in by_unbound(a, shared):
+            for y, too in by_unbound(b, shared):
+                x, y = x.renamed(), y.renamed()
+                tight = [n for n in shared if n not in free | too]
+                cond = self.on(x, y, tight)
+                matched.append(self.merged(x, y, x.df.join(y.df, cond & more(x, y) if more else cond, "inner")))
+        return union([*matched, self.kept(a, b, shared, False, more).renamed()])
 
     def _union(self, node: Union) -> Rel:
         return union([self.compile(node.left), self.compile(node.right)])
@@ -324,14 +357,7 @@ class Compiler:
         shared = [n for n in a.lanes if n in b.lanes]
         if not shared:
             return a
-        b = Rel(b.pruned(shared).df.distinct(), {n: b.lanes[n] for n in shared})
-        cond = self.on(a, b, shared)
-        if all(a.lanes[n].null or b.lanes[n].null for n in shared):
-            some = F.lit(False)
-            for n in shared:
-                some = some | (F.col(a.lanes[n].col).isNotNull() & F.col(b.lanes[n].col).isNotNull())
-            cond = cond & some
-        return Rel(a.df.join(b.df, cond, "left_anti"), a.lanes)
+        return self.kept(a, b, shared, False, bound=True)
 
     def _intersect(self, node: Intersect) -> Rel:
         a, b = self.compile(node.left), self.compile(node.right)
@@ -377,9 +403,8 @@ class Compiler:
                 rel = Rel(rel.df.filter(ebv(self.value(c, rel))), rel.lanes, rel.order)
         return rel
 
-    def inner(self, rel: Rel, node: Node) -> tuple[Rel, Column]:
-        """A pattern inside EXISTS and what joins it to the outer row: shared variables, and its filters
-        on outer variables."""
+    def inner(self, rel: Rel, node: Node) -> tuple[Rel, list[E]]:
+        """A pattern inside EXISTS, and its filters on outer variables."""
         conds: list[E] = []
         while isinstance(node, Filter):
             outside = (used(node.condition) - variables(node.child)) & set(rel.lanes)
@@ -392,17 +417,18 @@ class Compiler:
             node = Filter(rest[0] if len(rest) == 1 else E("&&", rest), node.child)
             break
         own = self.compile(node).renamed()
-        shared = [n for n in rel.lanes if n in own.lanes]
-        cond = self.on(rel, own, shared)
-        for c in conds:
-            cond = cond & F.coalesce(ebv(self.value(c, Rel(rel.df, own.lanes | rel.lanes))), F.lit(False))
-        if not conds and shared:
-            own = Rel(own.pruned(shared).df.distinct(), {n: own.lanes[n] for n in shared})
-        return own, cond
+        return own, conds
 
     def semi(self, rel: Rel, node: Node, keep: bool) -> Rel:
-        own, cond = self.inner(rel, node)
-        return Rel(rel.df.join(own.df, cond, "left_semi" if keep else "left_anti"), rel.lanes, rel.order)
+        own, conds = self.inner(rel, node)
+
+        def hold(x: Rel, y: Rel) -> Column:
+            out = F.lit(True)
+            for c in conds:
+                out = out & F.coalesce(ebv(self.value(c, Rel(x.df, y.lanes | x.lanes))), F.lit(False))
+            return out
+
+        return self.kept(rel, own, [n for n in rel.lanes if n in own.lanes], keep, hold if conds else None)
 
     def quantified(self, rel: Rel, c: E) -> Rel:
         if c.op == "insub":
@@ -430,6 +456,8 @@ class Compiler:
             keep = F.coalesce(holds, F.lit(False)) & (F.col(n) > 0) if c.op == "any" else (F.col(n) == 0) | F.coalesce(holds, F.lit(False))
             return Rel(df.filter(keep), rel.lanes, rel.order)
         holds = F.coalesce(compare(op, v, other.value()), F.lit(False))
+        if c.op == "any" and op == "=" and v.kind == other.value().kind and v.kind in ("integer", "double", "float", "string", "boolean", "date", "dateTime"):
+            holds = (v.col == other.value().col) & holds  # a key to join by
         return Rel(rel.df.join(own.df.distinct(), holds if c.op == "any" else ~holds, "left_semi" if c.op == "any" else "left_anti"), rel.lanes, rel.order)
 
     def flagged(self, rel: Rel, e: Any) -> tuple[Rel, Any]:
@@ -445,13 +473,14 @@ class Compiler:
         if e.op in ("exists", "notexists", "any", "all", "insub"):
             flag = fresh()
             if e.op in ("exists", "notexists"):
-                own, cond = self.inner(rel, e.args[0])
+                own, conds = self.inner(rel, e.args[0])
                 shared = [n for n in rel.lanes if n in own.lanes]
-                if shared and len(own.lanes) == len(shared) and not any(own.lanes[n].null or rel.lanes[n].null for n in shared):
-                    df = rel.df.join(own.df.withColumn(flag + "x", F.lit(True)), cond, "left").withColumn(flag, F.col(flag + "x").isNotNull())
+                if shared and not conds and not any(own.lanes[n].null or rel.lanes[n].null for n in shared):
+                    seen = own.df.select(*[own.lanes[n].col for n in shared]).distinct().withColumn(flag + "x", F.lit(True))
+                    df = rel.df.join(seen, self.on(rel, own, shared), "left").withColumn(flag, F.col(flag + "x").isNotNull())
                     return Rel(df, rel.lanes, rel.order), E("flag", [flag, e.op == "exists"])
             row = fresh()
-            with_row = Rel(rel.df.withColumn(row, F.monotonically_increasing_id()), rel.lanes)
+            with_row = numbered(rel, row)
             hit = self.filtered(with_row, e if e.op != "notexists" else E("exists", e.args)).df.select(F.col(row).alias(row + "h")).distinct()
             df = with_row.df.join(hit, F.col(row) == F.col(row + "h"), "left").withColumn(flag, F.col(row + "h").isNotNull())
             return Rel(df, rel.lanes, rel.order), E("flag", [flag, e.op != "notexists"])
@@ -667,8 +696,7 @@ class Compiler:
             absolute = s.rlike("^[A-Za-z][A-Za-z0-9+.-]*:")
             if v.kind == "iri":
                 return v
-            relative = F.concat(F.lit(_folder(self.base)), s) if self.base else F.lit(None).cast("string")
-            return V("iri", F.when(absolute, s).otherwise(relative))
+            return V("iri", F.when(absolute, s).otherwise(_resolved(self.base, s) if self.base else F.lit(None).cast("string")))
         if name == "BNODE":
             row = F.sha1(F.concat_ws("|", *[F.coalesce(x.term(), F.lit("")) for x in rel.lanes.values()])) if rel.lanes else F.lit("")
             return V("bnode", F.concat(F.lit("_:b"), F.sha1(F.concat(lexical(vs[0]), row)) if vs else F.replace(F.uuid(), F.lit("-"), F.lit(""))))
@@ -678,8 +706,41 @@ class Compiler:
         return f(*vs)
 
 
-def _folder(base: str) -> str:
-    return base[: base.rfind("/") + 1] if "/" in base else base
+def _resolved(base: str, s: Column) -> Column:
+    """A relative reference against base, as terms.resolve() has it."""
+    scheme, rest = re.fullmatch(r"([A-Za-z][A-Za-z0-9+.-]*:)?(.*)", base.partition("#")[0], re.S).groups()
+    authority, path, query = re.fullmatch(r"(//[^/?]*)?([^?]*)(\?.*)?", rest, re.S).groups()
+    root = (scheme or "") + (authority or "")
+    folder = path[: path.rfind("/") + 1] or ("/" if authority else "")
+    own, more = F.regexp_extract(s, r"^([^?#]*)", 1), F.regexp_extract(s, r"^[^?#]*([?#].*)?$", 1)
+    segments = F.split(F.when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(F.lit(folder), own)), "/")
+    up = lambda done: F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
+    kept = F.aggregate(segments, F.array().cast("array<string>"), lambda done, x: F.when(x == ".", done).when(x == "..", up(done)).otherwise(F.concat(done, F.array(x))))
+    kept = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    whole = F.concat(F.lit(root), F.array_join(kept, "/"), more)
+    same = F.when(F.startswith(s, F.lit("?")), F.concat(F.lit(root + path), s)).otherwise(F.concat(F.lit(root + path + (query or "")), s))
+    return F.when((s == "") | F.startswith(s, F.lit("#")) | F.startswith(s, F.lit("?")), same).when(F.startswith(s, F.lit("//")), F.concat(F.lit(scheme or ""), s)).otherwise(whole)
+
+
+def is_loose(x: Lane) -> bool:
+    """An unbound value there agrees with any other."""
+    return x.null and not x.poisoned
+
+
+def by_unbound(rel: Rel, names: list[str]) -> list[tuple[Rel, set[str]]]:
+    """rel's rows by which of the variables they leave unbound, and these."""
+    parts: list[tuple[Rel, set[str]]] = [(rel, set())]
+    for n in names:
+        lane = rel.lanes[n]
+        if is_loose(lane):
+            there, col = replace(lane, null=False), F.col(lane.col)
+            parts = [part for r, free in parts for part in ((Rel(r.df.filter(col.isNotNull()), r.lanes | {n: there}), free), (Rel(r.df.filter(col.isNull()), r.lanes), free | {n}))]
+    return parts
+
+
+def numbered(rel: Rel, row: str) -> Rel:
+    """rel with a number of each row in column row; staged, so that every use sees the same numbers."""
+    return Rel(stage(rel.df.withColumn(row, F.monotonically_increasing_id()), "rows"), rel.lanes, rel.order)
 
 
 def _is_search(t: Any) -> bool:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import json
 import re
 import xml.etree.ElementTree as ET
@@ -68,8 +69,12 @@ def _plain(out: list) -> Iterator[Quad]:
         yield p.s, p.p, p.o, p.g
 
 
-def read_turtle(text: str, base: str | None = None) -> Iterator[Quad]:
-    return Turtle(text, base).quads_of()
+def read_turtle(text: str, base: str | None = None, prefixes: dict[str, str] | None = None) -> Iterator[Quad]:
+    """prefixes: gets the document's, while it is read."""
+    reader = Turtle(text, base)
+    if prefixes is not None:
+        reader.prefixes = prefixes
+    return reader.quads_of()
 
 
 _LINE = re.compile(r'\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>|@[A-Za-z]+(?:-[A-Za-z0-9]+)*)?)\s*(<[^>]*>|_:\S+)?\s*\.\s*(?:#.*)?')
@@ -89,8 +94,10 @@ def read_line(line: str) -> Quad:
     return s, p, o, g
 
 
-def read_rdfxml(text: str, base: str | None = None) -> Iterator[Quad]:
+def read_rdfxml(text: str, base: str | None = None, prefixes: dict[str, str] | None = None) -> Iterator[Quad]:
     root = ET.fromstring(text)
+    if prefixes is not None:
+        prefixes |= {name: uri for _, (name, uri) in ET.iterparse(io.StringIO(text), ["start-ns"])}
     count = iter(range(1 << 60))
     out: list[Quad] = []
     rdf = f"{{{RDF}}}"
@@ -321,9 +328,14 @@ class JsonLd:
         return s
 
 
-def read_jsonld(text: str, base: str | None = None) -> Iterator[Quad]:
+def read_jsonld(text: str, base: str | None = None, prefixes: dict[str, str] | None = None) -> Iterator[Quad]:
     reader = JsonLd(base)
     root = json.loads(text)
+    if prefixes is not None:
+        for x in root if isinstance(root, list) else [root]:
+            own = x.get("@context") if isinstance(x, dict) else None
+            for c in own if isinstance(own, list) else [own]:
+                prefixes |= {k: v for k, v in c.items() if isinstance(v, str) and v[-1:] in "/#:" and k[:1] != "@"} if isinstance(c, dict) else {}
     for x in root if isinstance(root, list) else [root]:
         reader.node({}, x, None)
     return iter(reader.out)
@@ -406,5 +418,10 @@ READERS: dict[str, Callable[..., Iterator[Quad]]] = {
 }
 
 
+#: Extensions whose readers report prefixes.
+WITH_PREFIXES = {".ttl", ".n3", ".trig", ".rdf", ".rdfs", ".owl", ".xml", ".jsonld"}
+
+
 def register_format(extension: str, reader: Callable[..., Iterator[Quad]]) -> None:
     READERS[extension] = reader
+    WITH_PREFIXES.discard(extension)

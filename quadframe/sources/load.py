@@ -55,10 +55,12 @@ def load(spark: SparkSession, paths: str, graph: str | None = None, override: bo
 
     graph: pattern of the graph of statements that have none; with override, of all statements (without a
     pattern, graphs are removed). skip_invalid leaves out bad lines, and what follows the first fault of
-    other files. Blank nodes are renamed by file. Uncompressed line formats are read and split by Spark.
+    other files. Blank nodes are renamed by file. Line formats, packed ones too, are read by Spark as streams
+    and split where they can be. Prefixes that a document declares are kept as triples, as namespaces() reads
+    them.
     """
     files = _files(spark, paths)
-    lines = [f for f in files if extension(f) in ((".nt", ""), (".nq", ""))]
+    lines = [f for f in files if extension(f)[0] in (".nt", ".nq") and formats.READERS[extension(f)[0]] is formats.read_lines]
     rest = [f for f in files if f not in lines]
     schema = pa.schema([(n, pa.string()) for n in "spog"])
 
@@ -95,8 +97,12 @@ def load(spark: SparkSession, paths: str, graph: str | None = None, override: bo
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ext, packed = extension(path)
                 raw = gzip.decompress(content) if packed == ".gz" else bz2.decompress(content) if packed == ".bz2" else content
-                options = {"ontology": True} if ontology and ext == ".json" else {}
+                options: dict = {"ontology": True} if ontology and ext == ".json" else {}
+                prefixes: dict[str, str] = {}
+                if ext in formats.WITH_PREFIXES:
+                    options["prefixes"] = prefixes
                 yield from batches(rows(path, _guarded(formats.READERS[ext], raw, path, skip_invalid, options)))
+                yield from batches(iter(namespace_rows(prefixes, graph_name(graph, path) if graph else None)))
 
     def by_line(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
@@ -162,14 +168,17 @@ def write(quads: DataFrame, path: str, mode: str = "append", sort: bool = True)
     out.write.mode(mode).parquet(path)
 
 
+def namespace_rows(prefixes: dict[str, str], graph: str | None = None) -> list[tuple]:
+    return [(IRI(ns).n3(), f"<{PREFIX_PREDICATE}>", Literal(p).n3(), f"<{graph}>" if graph else None) for p, ns in prefixes.items() if p]
+
+
 def namespace_quads(spark: SparkSession, prefixes: dict[str, str], graph: str | None = None) -> DataFrame:
-    rows = [(IRI(ns).n3(), f"<{PREFIX_PREDICATE}>", Literal(p).n3(), f"<{graph}>" if graph else None) for p, ns in prefixes.items() if p]
-    return spark.createDataFrame(rows, QUADS)
+    return spark.createDataFrame(namespace_rows(prefixes, graph), QUADS)
 
 
-def namespaces(quads: DataFrame, most: int = 10_000) -> dict[str, str]:
-    """Prefixes kept as triples; at most `most` are read."""
+def namespaces(quads: DataFrame) -> dict[str, str]:
+    """Prefixes kept as triples; of several namespaces of one prefix, the first by name."""
     from ..terms import parse_term
 
-    found = quads.filter(F.col("p") == f"<{PREFIX_PREDICATE}>").select("s", "o").limit(most).collect()
+    found = quads.filter(F.col("p") == f"<{PREFIX_PREDICATE}>").groupBy("o").agg(F.min("s").alias("s")).collect()
     return {parse_term(r["o"]).lex: parse_term(r["s"]).value for r in found}

@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..engine import Engine
+from ..functions.library import utf16
 from ..terms import RDF, XSD, BNode, IRI, Literal, parse_term
 
 _TABLE = re.compile(r"[a-zA-Z_0-9.]+")
 RDF_EXTENSIONS = (".nt", ".nq", ".ttl", ".trig", ".n3", ".rdf", ".rdfs", ".owl", ".xml", ".trix", ".rj", ".jsonld")
+#: Quads of one document of the formats that Spark does not write itself.
+DOCUMENT_QUADS = 100_000
 _CODECS = {".gz": "gzip", ".bz2": "bzip2"}
 
 
@@ -26,12 +29,13 @@ class ExportFault(ValueError):
 
 def csv_cell(c: Column) -> Column:
     """A value as this engine's CSV has it: quotes doubled inside quotes, line ends, backslashes and
-    characters beyond plain ASCII as escapes, commas and the empty string quoted, null as nothing."""
+    characters beyond plain ASCII as escapes of their UTF-16 units, commas and the empty string quoted, null as nothing."""
     s = c.cast("string")
     text = F.replace(s, F.lit("\\"), F.lit("\\\\"))
     for a, b in (("\n", "\\n"), ("\r", "\\r"), ('"', '""')):
         text = F.replace(text, F.lit(a), F.lit(b))
-    hexed = lambda x: F.concat(F.lit("\\u"), F.lpad(F.hex(F.ascii(x)), 4, "0"))
+    unit = lambda u: F.concat(F.lit("\\u"), F.lpad(F.hex(u), 4, "0"))
+    hexed = lambda x: F.array_join(F.transform(utf16(F.ascii(x).cast("long")), unit), "")
     odd = r"[^\x20-\x7E]"
     coded = F.array_join(F.transform(F.split(text, ""), lambda x: F.when(x.rlike(odd), hexed(x)).otherwise(x)), "")
     text = F.when(text.rlike(odd), coded).otherwise(text)
@@ -120,7 +124,8 @@ def _trix(t) -> str:
 
 
 def write_rdf(quads: DataFrame, path: str, codec: str | None = None, mode: str = "error") -> None:
-    """A folder of documents of the path's format, one per partition; line formats by Spark alone."""
+    """A folder of documents of the path's format, of at most DOCUMENT_QUADS quads each; line formats by Spark
+    alone."""
     ext = os.path.splitext(path[: -len(".bz2")] if path.endswith(".bz2") else path[: -len(".gz")] if path.endswith(".gz") else path)[1]
     if ext in (".nt", ".nq"):
         return write_lines(quads, path, ext == ".nq", codec, mode)
@@ -134,11 +139,20 @@ def write_rdf(quads: DataFrame, path: str, codec: str | None = None, mode: str =
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        rows = [tuple(None if t is None else parse_term(t) for t in r) for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([serialise(ext, rows)])], names=["value"])
+        def document(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([serialise(ext, iter(rows))])], names=["value"])
 
-    w = cols.mapInArrow(run, "value string").write.mode(mode).option("lineSep", "\n")
+        held: list[tuple] = []
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns)):
+                held.append(tuple(None if t is None else parse_term(t) for t in r))
+                if len(held) == DOCUMENT_QUADS:
+                    yield document(held)
+                    held = []
+        if held:
+            yield document(held)
+
+    w = cols.mapInArrow(run, "value string").write.mode(mode).option("lineSep", "\n").option("maxRecordsPerFile", 1)
     return (w.option("compression", codec) if codec else w).text(path)
 
 

@@ -182,3 +182,62 @@ def test_fork_law_and_hash(spark):
     assert sum(map(len, parts)) == len(set().union(*parts)) == 50
     text = "SELECT ?i { VALUES ?x { \"hello\" } FILTER(<urn:quadframe:forkAndFilterBy>(3, ?x)) BIND(1 AS ?i) }"
     assert [Engine(spark, d).query(text, fork=i).count() for i in range(3)] == [0, 0, 1]
+
+
+# joins on variables that may be unbound
+
+def _values(rows, names):
+    cell = lambda x: "UNDEF" if x is None else str(x)
+    return f"VALUES ({' '.join('?' + n for n in names)}) {{ {' '.join('(' + ' '.join(map(cell, r)) + ')' for r in rows)} }}"
+
+
+def _compatible(x, y):
+    return all(x[n] is None or y[n] is None or x[n] == y[n] for n in x.keys() & y.keys())
+
+
+def _joined(x, y):
+    return {n: x.get(n) if x.get(n) is not None else y.get(n) for n in x.keys() | y.keys()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_unbound_joins_match_brute_force(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    names_a, names_b = ("u", "v", "x"), ("u", "v", "y")
+    draw = lambda: [tuple(r.choice([None, 1, 2, 3]) for _ in range(2)) + (k,) for k in range(7)]
+    rows_a, rows_b = draw(), draw()
+    a, b = ([dict(zip(n, row)) for row in own] for n, own in ((names_a, rows_a), (names_b, rows_b)))
+    left, right = _values(rows_a, names_a), _values(rows_b, names_b)
+    e = Engine(spark, Dataset(spark))
+    more = lambda x, y: x["x"] <= y["y"]
+    want = {
+        "join": (f"{left} {right}", [_joined(x, y) for x in a for y in b if _compatible(x, y)]),
+        "optional": (f"{left} OPTIONAL {{ {right} }}", [z for x in a for z in [_joined(x, y) for y in b if _compatible(x, y)] or [x]]),
+        "optional if": (f"{left} OPTIONAL {{ {right} FILTER(?x <= ?y) }}", [z for x in a for z in [_joined(x, y) for y in b if _compatible(x, y) and more(x, y)] or [x]]),
+        "minus": (f"{left} MINUS {{ {right} }}", [x for x in a if not any(_compatible(x, y) and any(x[n] is not None and y[n] is not None for n in "uv") for y in b)]),
+        "exists": (f"{left} FILTER EXISTS {{ {right} }}", [x for x in a if any(_compatible(x, y) for y in b)]),
+        "exists if": (f"{left} FILTER EXISTS {{ {right} FILTER(?x <= ?y) }}", [x for x in a if any(_compatible(x, y) and more(x, y) for y in b)]),
+        "not exists": (f"{left} FILTER NOT EXISTS {{ {right} FILTER(?x <= ?y) }}", [x for x in a if not any(_compatible(x, y) and more(x, y) for y in b)]),
+        "exists or": (f"{left} FILTER(?x = 0 || EXISTS {{ {right} FILTER(?x <= ?y) }})", [x for x in a if x["x"] == 0 or any(_compatible(x, y) and more(x, y) for y in b)]),
+    }
+    for name, (text, rows_wanted) in want.items():
+        got = [tuple(row.asDict().get(n) for n in "uvxy") for row in e.query(f"SELECT * {{ {text} }}").collect()]
+        assert sorted(got, key=str) == sorted((tuple(z.get(n) for n in "uvxy") for z in rows_wanted), key=str), name
+
+
+def test_joins_have_keys(spark, engine):
+    for text in ("?s :age ?a OPTIONAL { ?s :mail ?m } OPTIONAL { ?t :mail ?m }", "?s :age ?a OPTIONAL { ?s :mail ?m } MINUS { ?t :mail ?m }", "?s :age ?a OPTIONAL { ?s :mail ?m } FILTER EXISTS { ?t :mail ?m ; :name ?s }"):
+        plan = engine.query(f"SELECT * {{ {text} }}")._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Join" in line and " OR " in line], text
+    plan = engine.query("SELECT ?s { ?s :age ?a BIND(STR(?a) AS ?b) FILTER(?b = ANY (SELECT ?d { ?t :age ?c BIND(STR(?c) AS ?d) })) }")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan
+
+
+def test_relative_iris(spark):
+    from quadframe.terms import resolve
+
+    for base in ("http://h/a/b", "http://h", "http://h/a/b?q=1#f", "file:/x/y/z"):
+        for ref in ("", "x", "/x", "../c", "./d", "../../../e", "#f", "?q", "//other/z", "x/..", "x/.", "urn:abs", "g?y/../x", "a/../b#s/../x"):
+            got = Engine(spark, Dataset(spark)).query(f'BASE <{base}> SELECT (IRI("{ref}") AS ?x) {{}}').first()[0]
+            assert got == resolve(base, ref), (base, ref)

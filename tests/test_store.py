@@ -112,12 +112,19 @@ def test_bulk_load_mix(spark, tmp_path):
     assert load.load(spark, at, override=True, skip_invalid=True).filter("g IS NULL").count() == 104
     load.write(df, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 104
+    (root / "f.ttl").write_text("@prefix e: <urn:e#> . e:a e:p 1 .")
+    (root / "g.rdf").write_text('<r:RDF xmlns:r="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:k="urn:k#"><k:T r:about="urn:t"/></r:RDF>')
+    kept = load.load(spark, at, graph="urn:n", skip_invalid=True)
+    assert load.namespaces(kept) == {"e": "urn:e#", "k": "urn:k#", "r": "http://www.w3.org/1999/02/22-rdf-syntax-ns#"}
+    assert kept.filter("o = '\"k\"' AND g = '<urn:n>'").count() == 1
+    many = {f"p{i}": f"urn:p{i}#" for i in range(10_500)}
+    assert load.namespaces(load.namespace_quads(spark, many)) == many
     assert load.namespaces(load.namespace_quads(spark, {"e": "urn:e#", "": "urn:x"})) == {"e": "urn:e#"}
 
 
 def test_csv_cells(spark, tmp_path):
-    df = spark.createDataFrame([('a"b',), ("x,y",), ("l1\nl2\\",), ("",), (None,), ("ü",)], "v string")
-    assert [r[0] for r in df.select(writers.csv_cell(F.col("v"))).collect()] == ['"a""b"', '"x,y"', "l1\\nl2\\\\", '""', "", "\\u00FC"]
+    df = spark.createDataFrame([('a"b',), ("x,y",), ("l1\nl2\\",), ("",), (None,), ("ü",), ("x😀y",)], "v string")
+    assert [r[0] for r in df.select(writers.csv_cell(F.col("v"))).collect()] == ['"a""b"', '"x,y"', "l1\\nl2\\\\", '""', "", "\\u00FC", "x\\uD83D\\uDE00y"]
     e = Engine(spark, Dataset.from_quads(spark, grid(3)))
     writers.export(e, "SELECT ?s ?o { ?s <urn:p0> ?o }", str(tmp_path / "x.csv.gz"))
     lines = [line for f in (tmp_path / "x.csv.gz").glob("*.gz") for line in gzip.open(f, "rt").read().splitlines()]
@@ -238,6 +245,28 @@ def test_bulk_delete_and_its_time(spark):
     assert timeline.compact(gone).count() == 20
     again = events.filter("p = '<urn:p0>'").withColumn("ts", F.lit(8).cast("long")).withColumn("rank", F.lit(None).cast("double"))
     assert timeline.compact(gone.unionByName(again)).count() == 25
+    # nanoseconds of today do not fit a double
+    late = (1 << 60) + 1
+    close = spark.createDataFrame([("a", "b", "c", None, late, "delete"), ("a", "b", "c", None, late - 1, "insert"), ("d", "b", "c", None, late, "insert"), ("d", "b", "c", None, late - 1, "delete")], timeline.EVENTS)
+    assert [r.s for r in timeline.compact(timeline.delete_events(close, p=IRI("urn:none"))).collect()] == ["d"]
+
+
+def test_fork_hash_is_over_utf16(spark):
+    from quadframe.functions.library import _fork_hash, plain
+
+    for text in ("", "hello", "x😀é漢"):
+        h = 0
+        units = text.encode("utf-16-be")
+        for i in range(0, len(units), 2):
+            h = (31 * h + int.from_bytes(units[i : i + 2], "big")) & 0xFFFFFFFF
+        assert spark.range(1).select(_fork_hash(plain(F.lit(text)))).first()[0] == (h - (1 << 32) if h >> 31 else h)
+
+
+def test_documents_of_an_export_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "DOCUMENT_QUADS", 10)
+    writers.write_rdf(quads(spark, grid(5)).coalesce(1), str(tmp_path / "x.rdf"))
+    files = list((tmp_path / "x.rdf").glob("part-*"))
+    assert len(files) == 3 and sum(len(list(formats.read_rdfxml(f.read_text()))) for f in files) == 25
 
 
 # statistics and plans
