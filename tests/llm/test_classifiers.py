@@ -162,3 +162,110 @@ def test_toxicity_reads_whole_runs(toxic):
     clean = "theofand" * 5
     scores = network.scores([clean, clean + "vileonegrimlyhorrid"])
     assert scores[1] > scores[0]
+
+
+# plain walks through the fitted models
+
+M32 = 0xFFFFFFFF
+
+
+def plain_language(model, text):
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    b, count = f" {text.lower()} ".encode(), {}
+    for i in range(len(b)):
+        code = b[i]
+        for n in range(1, 5):
+            if i + n > len(b):
+                break
+            if n > 1:
+                code = (code * 0x01000193 + b[i + n - 1] + n) & M32
+            k = (code * 2654435761 & M32) >> 20
+            count[k] = count.get(k, 0) + 1
+    size = sum(count.values()) ** 0.5
+
+    def choose(choice):
+        if len(choice.names) == 1:
+            return choice.names[0], 1.0
+        wins, total, least = ([0.0] * len(choice.names) for _ in range(3))
+        least = [float("inf")] * len(choice.names)
+        for row, (i, j) in enumerate(choice.pairs):
+            m = sum(float(choice.w[row, k]) * n**0.5 / size for k, n in count.items()) + float(choice.b[row])
+            wins[i if m >= 0 else j] += 1
+            for k, own in ((i, m), (j, -m)):
+                total[k] += own
+                least[k] = min(least[k], own)
+        best = max(range(len(wins)), key=lambda k: (wins[k], total[k], -k))
+        return choice.names[best], 1 / (1 + np.exp(-4 * max(-20, min(20, least[best]))))
+
+    family, p = choose(model.families)
+    lang, q = choose(model.languages[family])
+    return lang, p * q
+
+
+@pytest.mark.parametrize("extra", [False, True])
+def test_language_matches_a_plain_walk(spark, languages, extra):
+    rows = languages[::3] + [(1000, None, "en"), (1001, "", "de"), (1002, "12 !", "en"), (1003, "x", None), (None, "ÄÖ Über 漢字", None), (1004, text(random.Random(1), FR, 3000), "fr")]
+    df = cases.docs(spark, rows, extra)
+    model = L.fit(df)
+    texts = {r[0]: r[1] for r in rows}
+    for g in L.identify(df, model).collect():
+        lang, score = plain_language(model, texts[g.doc_id])
+        assert g.lang_pred == lang and abs(g.score - score) < 1e-4
+
+
+def plain_toxicity(net, text):
+    def hashed(w):
+        cells = [ord(c) for c in ("" if w[0] == "~" else "<") + w + ("" if w[-1] == "~" else ">")]
+        padded, h = cells + [0] * (24 - len(cells)), 0
+        for c in padded:
+            h = (h * 0x01000193 + c) & M32
+        grams = []
+        for n in range(3, 6):
+            for i in range(len(cells) - n + 1):
+                code = cells[i]
+                for k in range(2, n + 1):
+                    code = (code * 0x01000193 + cells[i + k - 1] + k) & M32
+                grams.append((code * 2654435761 & M32) >> 14)
+        return (h * 2654435761 & M32) >> 14, grams
+
+    def given(w):
+        word, grams = hashed(w)
+        own = [net.gram_odds[g] for g in grams]
+        mean = np.mean([net.p["grams"][g] for g in grams], axis=0) if grams else np.zeros(4)
+        longest = 3 * 24 - 9  # columns of hashes(); where one is empty, the most telling gram is at least 0
+        most = max([*own, 0.0] if len(grams) < longest else own)
+        return np.concatenate([net.p["words"][word], mean, [net.word_odds[word], most, sum(own) / max(1, len(grams))]])
+
+    def sigmoid(x):
+        return 1 / (1 + np.exp(-x))
+
+    words = T.words_of(text or "")
+    if not words:
+        return 0.0
+    best = -np.inf
+    for at in range(0, max(1, len(words) - T.WINDOW + T.STRIDE), T.STRIDE):
+        own = [given(w) for w in words[at : at + T.WINDOW]]
+        states = {}
+        for way, order in (("f", range(len(own))), ("b", range(len(own) - 1, -1, -1))):
+            state = np.zeros(8)
+            for t in order:
+                g, s = own[t] @ net.p["W" + way] + net.p["c" + way], state @ net.p["U" + way]
+                z, r = sigmoid(g[:8] + s[:8]), sigmoid(g[8:16] + s[8:16])
+                state = z * state + (1 - z) * np.tanh(g[16:] + r * s[16:])
+                states[t, way] = state
+        out = [np.concatenate([states[t, "f"], states[t, "b"]]) for t in range(len(own))]
+        e = np.array([np.tanh(o @ net.p["A"] + net.p["a"]) @ net.p["v"] for o in out])
+        weight = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+        best = max(best, sum(w * o for w, o in zip(weight, out)) @ net.p["o"] + net.p["q"][0])
+    a, b = net.curve
+    return float(sigmoid(np.clip(a * best + b, -30, 30)))
+
+
+def test_toxicity_matches_a_plain_walk(spark, toxic):
+    docs, _, _, network = toxic
+    rows = docs[:60] + [(5000, None), (5001, ""), (5002, "ÄÖ 漢字漢字 x"), (None, docs[8][1]), (5003, "horrid " * 70), (5004, "a" * 100 + " vileone")]
+    texts = dict(rows)
+    for g in T.score(cases.docs(spark, rows), network=network).collect():
+        want = plain_toxicity(network, texts[g.doc_id])
+        assert abs(g.score - want) < 1e-3 and (g.predicted == (want >= 0.5) or abs(want - 0.5) < 1e-3)
