@@ -23,20 +23,27 @@ WITH q AS (
   SELECT '<urn:nation/' || n_nationkey || '>' AS s, p, o, NULL AS g FROM nation, (VALUES ('<urn:p/n_nationkey>'), ('<urn:p/n_name>'), ('<urn:p/n_regionkey>'), ('{_TYPE}')) t(p),
     LATERAL (SELECT CASE p WHEN '<urn:p/n_nationkey>' THEN '"' || n_nationkey || '{_INT}' WHEN '<urn:p/n_name>' THEN '"' || n_name || '"' WHEN '<urn:p/n_regionkey>' THEN '<urn:region/' || n_regionkey || '>' ELSE '<urn:class/nation>' END AS o)
   UNION ALL
-  SELECT '<urn:orders/' || o_orderkey || '>', p, o, '<urn:status/' || o_orderstatus || '>' FROM (SELECT * FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')), (VALUES ('<urn:p/o_orderkey>'), ('<urn:p/o_custkey>'), ('<urn:p/o_orderstatus>'), ('<urn:p/o_orderpriority>'), ('{_TYPE}')) t(p),
-    LATERAL (SELECT CASE p WHEN '<urn:p/o_orderkey>' THEN '"' || o_orderkey || '{_INT}' WHEN '<urn:p/o_custkey>' THEN '<urn:customer/' || o_custkey || '>' WHEN '<urn:p/o_orderstatus>' THEN '"' || o_orderstatus || '"' WHEN '<urn:p/o_orderpriority>' THEN '"' || o_orderpriority || '"' ELSE '<urn:class/orders>' END AS o)
+  SELECT '<urn:orders/' || o_orderkey || '>', p, o, '<urn:status/' || o_orderstatus || '>' FROM (SELECT * FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')), (VALUES ('<urn:p/o_orderkey>'), ('<urn:p/o_custkey>'), ('<urn:p/o_orderstatus>'), ('<urn:p/o_orderpriority>'), ('<urn:p/o_totalprice>'), ('<urn:p/o_orderdate>'), ('{_TYPE}')) t(p),
+    LATERAL (SELECT CASE p WHEN '<urn:p/o_orderkey>' THEN '"' || o_orderkey || '{_INT}' WHEN '<urn:p/o_custkey>' THEN '<urn:customer/' || o_custkey || '>' WHEN '<urn:p/o_orderstatus>' THEN '"' || o_orderstatus || '"' WHEN '<urn:p/o_orderpriority>' THEN '"' || o_orderpriority || '"' WHEN '<urn:p/o_totalprice>' THEN '"' || o_totalprice || 'E0"^^<http://www.w3.org/2001/XMLSchema#double>' WHEN '<urn:p/o_orderdate>' THEN '"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '"^^<http://www.w3.org/2001/XMLSchema#dateTime>' ELSE '<urn:class/orders>' END AS o)
 )"""
 
 
 def _quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [table(spark, sf_dir, "nation")]
     for s in "FOP":
-        t = table(spark, sf_dir, "orders", f"urn:status/{s}", f"o_orderstatus = '{s}'")
-        t.columns = {k: v for k, v in t.columns.items() if v.kind in ("string", "integer", "key")}
-        parts.append(t)
+        parts.append(table(spark, sf_dir, "orders", f"urn:status/{s}", f"o_orderstatus = '{s}'"))
     return Dataset(spark, parts).all_quads()
 
 
+
+
+def _escaped(column: str) -> str:
+    """SQL for a string as N-Triples escapes it."""
+    for a, b in (("'\\'", "'\\\\'"), ("'\"'", "'\\\"'"), ("chr(10)", "'\\n'"), ("chr(13)", "'\\r'"), ("chr(9)", "'\\t'")):
+        column = f"replace({column}, {a}, {b})"
+    return column
+
+
 _MEASURES = f"""count(*) AS triples, count(DISTINCT s) AS subjects, count(DISTINCT p) AS properties, count(DISTINCT o) AS objects,
   count(DISTINCT CASE WHEN p = '{_TYPE}' THEN o END) AS classes, count(DISTINCT CASE WHEN o LIKE '<%' THEN o END) AS iri_objects, count(DISTINCT CASE WHEN o LIKE '"%' THEN o END) AS literals"""
 _COLUMNS = ["triples", "subjects", "properties", "objects", "classes", "iri_objects", "literals"]
@@ -80,6 +87,17 @@ def q67_update_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _updated(spark, sf_dir, _INSERT + " ; COPY GRAPH <urn:names> TO GRAPH <urn:copy> ; CLEAR GRAPH <urn:names>")
 
 
+def q89_update_using(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """USING names the graph that WHERE reads."""
+    return _updated(spark, sf_dir, _INSERT, "INSERT { GRAPH <urn:more> { ?n <urn:seen> ?l } } USING <urn:names> WHERE { ?n ?p ?l }")
+
+
+def q90_prefixes_as_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.load import namespace_quads
+
+    return namespace_quads(spark, {"p": "urn:p/", "c": "urn:class/", "": "urn:none/"}, "urn:g").select("s", "o", "g")
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a change log: users get event types, purchases take them away."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -117,7 +135,7 @@ def q70_json_to_rdf(spark: SparkSession, sf_dir: str) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["p", "o"])
 
-    made = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.to_json(F.struct("conv_id", "turn", "role")).alias("j"))
+    made = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("j"))
     return made.mapInArrow(run, "p string, o string").groupBy("p", "o").count().select("p", "o", F.col("count").alias("n"))
 
 
@@ -157,8 +175,11 @@ _Q = [
     (q67_update_clear, "SELECT '<urn:nation/' || n_nationkey || '>' AS s, '<urn:label>' AS p, '\"' || n_name || '\"' AS o, '<urn:copy>' AS g FROM nation UNION ALL SELECT '<urn:nation/' || n_nationkey || '>', '<urn:in>', '<urn:region/' || n_regionkey || '>', NULL FROM nation"),
     (q68_lww_compaction, _LOG + "SELECT s, p, o FROM r WHERE k = 1 AND ins"),
     (q69_bulk_delete, f"{_QUADS} SELECT s, p, o, g FROM q WHERE NOT (p = '<urn:p/o_custkey>' AND g = '<urn:status/F>') OR g IS NULL"),
-    (q70_json_to_rdf, f"WITH c AS (SELECT * FROM conversations) SELECT p, o, count(*) AS n FROM (SELECT '{_TYPE[1:-1]}' AS p, '<urn:json/:Node>' AS o FROM c UNION ALL SELECT 'urn:json/conv_id', '\"' || conv_id || '\"' FROM c UNION ALL SELECT 'urn:json/turn', '\"' || turn || '\"' FROM c UNION ALL SELECT 'urn:json/role', '\"' || role || '\"' FROM c WHERE role IS NOT NULL) GROUP BY p, o"),
-    (q71_presplit, None),
+    (q70_json_to_rdf, f"WITH c AS (SELECT * FROM conversations) SELECT p, o, count(*) AS n FROM (SELECT '{_TYPE[1:-1]}' AS p, '<urn:json/:Node>' AS o FROM c UNION ALL SELECT 'urn:json/conv_id', '\"' || conv_id || '\"' FROM c UNION ALL SELECT 'urn:json/turn', '\"' || turn || '\"' FROM c UNION ALL SELECT 'urn:json/role', '\"' || role || '\"' FROM c WHERE role IS NOT NULL UNION ALL SELECT 'urn:json/text', '\"' || {_escaped('text')} || '\"' FROM c WHERE text IS NOT NULL) GROUP BY p, o"),
+    (q71_presplit, f"""{_QUADS}, z AS (SELECT p, substr(s, 1, 24) AS x, sum(length(s) + length(p) + length(o) + coalesce(length(g), 0)) AS bytes FROM q GROUP BY ALL),
+y AS (SELECT p, x, CAST(floor((sum(bytes) OVER (PARTITION BY p ORDER BY x) - bytes) / 100000) AS BIGINT) AS part FROM z) SELECT part, p, min(x) AS s FROM y GROUP BY part, p"""),
+    (q89_update_using, "SELECT '<urn:nation/' || n_nationkey || '>' AS s, '<urn:label>' AS p, '\"' || n_name || '\"' AS o, '<urn:names>' AS g FROM nation UNION ALL SELECT '<urn:nation/' || n_nationkey || '>', '<urn:in>', '<urn:region/' || n_regionkey || '>', NULL FROM nation UNION ALL SELECT '<urn:nation/' || n_nationkey || '>', '<urn:seen>', '\"' || n_name || '\"', '<urn:more>' FROM nation"),
+    (q90_prefixes_as_triples, "SELECT '<urn:p/>' AS s, '\"p\"' AS o, '<urn:g>' AS g UNION ALL SELECT '<urn:class/>', '\"c\"', '<urn:g>'"),
     (q72_profile_cardinality, "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {v}::DOUBLE)" for t, v in GOLDEN) + ") v(pattern, size)"),
     (q73_delete_keeps_time, _LOG + "SELECT s, p, o FROM r WHERE k = 1 AND ins AND o <> '\"click\"'"),
 ]
