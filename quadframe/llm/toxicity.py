@@ -5,7 +5,7 @@ more often the word and its most telling character gram occur in toxic training
 reads windows of WINDOW words, STRIDE apart, over the whole text; a document scores by its most toxic
 window, through a logistic curve fitted on training documents that the network did not see. As a
 document's label does not say which window is toxic, the network learns from a toxic document's TELLING most
-telling windows, and from all windows of the others, of which half the draws are telling ones.
+telling windows, and from as many and RANDOM random ones of each other document of the sample.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from . import common
 #: Labelled documents of each class that the model is fitted on, in order of their id's hash.
 SAMPLE = 2000
 WINDOW, STRIDE = 32, 24
-#: Windows of a toxic document that pass for toxic in training, and of another that are drawn more often.
-TELLING = 2
+#: Windows of a document that training draws on. Scores read all windows of every document.
+TELLING, RANDOM = 2, 2
 _HIDDEN, _ATTEND, _WORD_DIM, _GRAM_DIM = 8, 8, 4, 4
 _WORDS, _GRAMS, _LETTERS = 1 << 18, 1 << 18, 24
 #: Letters of a word, or of a piece of it, that are hashed as one; two cells mark the ends.
@@ -233,7 +233,7 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 700, batch: int = 1
     vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for i in fitting for w in split[i]}))}
     parts = hashes(list(vocabulary))
     telling = np.concatenate([[0], np.maximum(network.word_odds[parts[0]], np.where(parts[2], network.gram_odds[parts[1]], 0).max(1))])
-    toxic, other, every = [], [], []  # every: all windows of each document that is not toxic
+    toxic, other, every = [], [], []
     for i in fitting:
         if split[i]:
             w = windows(np.array([vocabulary[x] for x in split[i]]))
@@ -241,11 +241,9 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 700, batch: int = 1
             if y[i]:
                 toxic += [w[k] for k in rank[:TELLING]]
             else:
-                other += [w[k] for k in rank[:TELLING]]
+                other += [w[k] for k in rank[:TELLING]] + [w[k] for k in r.integers(0, len(w), RANDOM)]
                 every.append(w)
-    whole = np.concatenate([np.empty((0, WINDOW), np.int64), *every])
-    pools = [np.array(other).reshape(-1, WINDOW), whole, np.array(toxic).reshape(-1, WINDOW)]
-    shares = [batch // 4, batch // 2 - batch // 4, batch // 2]
+    pools = [np.array(other).reshape(-1, WINDOW), np.array(toxic).reshape(-1, WINDOW)]
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
     for step in range(1, steps + 1):
         if not all(map(len, pools)):
@@ -254,7 +252,7 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 700, batch: int = 1
             x = np.concatenate([np.zeros((1, _WORD_DIM + _GRAM_DIM + 3), np.float32), *(network.inputs(*(p[i : i + 20_000] for p in parts)) for i in range(0, len(vocabulary), 20_000))])
             worst = np.array([w[np.argmax(network.run(x, w)[0])] for w in every])
             pools[0] = np.concatenate([pools[0], worst, worst])
-        own = np.concatenate([p[r.integers(0, len(p), n)] for p, n in zip(pools, shares)])
+        own = np.concatenate([p[r.integers(0, len(p), batch // 2)] for p in pools])
         used, ids = np.unique(own, return_inverse=True)
         ids = ids.reshape(own.shape)
         if used[0] != 0:
