@@ -27,11 +27,15 @@ _CELLS = 4096
 _ROWS_PER_BUCKET = 2000
 
 
+def order_key(id_col: str, text_col: str) -> Column:
+    """Where a document lies among its source's: the hash of id and text."""
+    return F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.md5(text_col), F.lit(""))))
+
+
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size in words, and the hash that orders a source's documents."""
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    """doc_id, source, size in words, and order_key."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("order_key"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), order_key(id_col, text_col).alias("order_key"))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
@@ -93,11 +97,11 @@ def _least(a: Column, b: Column) -> Column:
 
 def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_passes: int = MAX_PASSES, block: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """(per document, per slot and document). The first has doc_id, source, size, source_size, target,
-    taken; the second source, slot, rank, doc_id, first_word (within the document's source stream), words.
+    taken, order_key; the second source, slot, rank, doc_id, first_word (within the document's source stream), words.
 
     Null or wordless texts have size 0 and are taken 0 times; a null source is a source of its own, the
     last; repeated rows count each; an empty table gives no rows. Other columns are not read. Documents
-    of one id lie in order of size.
+    that share an id lie apart, by the hash of their texts.
     """
     sizes = common.stage(sized(docs, id_col, text_col, source_col), "sizes")
     shares = common.stage(targets(sizes, weights, max_passes), "shares")
@@ -110,32 +114,31 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_passes: i
     d = d.withColumn("to", _least(F.col("from") + F.col("size"), words))
     d = d.withColumn("rank", F.explode_outer(F.when(F.col("pass").isNotNull(), F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block)))))
     d = d.withColumn("first_word", F.greatest("from", F.col("rank") * block)).withColumn("part", _least(F.col("to"), (F.col("rank") + 1) * block) - F.col("first_word"))
-    placed = d.select("s", "bucket", "nth", "doc_id", "source", "size", "source_size", "target", "rank", "first_word", "part").join(slots, ["s", "rank"], "left")
+    placed = d.select("s", "bucket", "nth", "order_key", "doc_id", "source", "size", "source_size", "target", "rank", "first_word", "part").join(slots, ["s", "rank"], "left")
     taken = F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("part"))), F.lit(0)).alias("taken")
-    per_doc = placed.groupBy("s", "bucket", "nth", "doc_id", "source", "size", "source_size", "target").agg(taken)
+    per_doc = placed.groupBy("s", "bucket", "nth", "order_key", "doc_id", "source", "size", "source_size", "target").agg(taken)
     per_slot = placed.filter("slot IS NOT NULL").select("source", "slot", "rank", "doc_id", (F.col("first_word") % F.col("source_size")).alias("first_word"), F.col("part").alias("words"))
-    return per_doc.select("doc_id", "source", "size", "source_size", "target", "taken"), per_slot
+    return per_doc.select("doc_id", "source", "size", "source_size", "target", "taken", "order_key"), per_slot
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs' rows, each repeated as often as the mixture takes it, to the nearest whole time.
 
-    Of rows that share an id, each is repeated as its own size is. Rows without words, null and empty texts
+    Of rows that share an id, each is repeated for itself; equal rows, alike. Rows without words, null and empty texts
     among them, go; a null source is a source of its own; a null id is an id. An empty table gives no rows.
     Other columns may have any names and are kept.
     """
-    at, source, size, words, times, nth = common.unused(docs, "_id", "_source", "_size", "_words", "_times", "_nth")
-    own = docs.withColumn(size, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    key, of, source, times, nth = common.unused(docs, "_key", "_of", "_source", "_times", "_nth")
     per_doc, _ = mixture(docs, **options)
-    taken = per_doc.filter("taken > 0").select(F.col("doc_id").alias(at), F.col("source").alias(source), F.col("size").alias(words), F.floor(F.col("taken") / F.col("size") + 0.5).alias(times))
-    taken = taken.groupBy(at, source, words).agg(F.max(times).alias(times)).filter(F.col(times) > 0)
-    joined = own.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col(at)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(size) == F.col(words)))
+    taken = per_doc.filter("taken > 0").select(F.col("order_key").alias(of), F.col("source").alias(source), F.floor(F.col("taken") / F.col("size") + 0.5).alias(times))
+    taken = taken.groupBy(of, source).agg(F.max(times).alias(times)).filter(F.col(times) > 0)
+    joined = docs.withColumn(key, order_key("doc_id", "text")).join(taken, (F.col(key) == F.col(of)) & F.col("source").eqNullSafe(F.col(source)))
     return joined.withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*[f"`{c}`" for c in docs.columns])
 
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-                  md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+                  md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(md5(text), '')) AS k FROM documents),
 b AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS s FROM d GROUP BY source),
 w AS (SELECT *, CASE s % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, 3 * source_size AS most FROM b),
 r AS (SELECT *, CAST(most AS DOUBLE) / w AS ratio FROM w),

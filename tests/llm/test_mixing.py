@@ -16,7 +16,7 @@ def by_sql(df):
 def rows():
     names = [None, "a", "b", "c", "hot", "tiny", "zz", "é"]
     out = [(i, cases.prose(i, 3 + i * 7 % 90), None, names[4] if i % 3 == 0 else names[i % 8]) for i in range(300)]
-    return out + [(900, None, None, "a"), (901, "", None, "b"), (902, "x", None, "only"), (None, "p q", None, None), (5, out[5][1], None, out[5][3]), (903, cases.prose(9, 30_000), None, "b"), (904, " ", None, "void")]
+    return out + [(None, cases.prose(400 + i, 5 + i % 9), None, "hot") for i in range(60)] + [(900, None, None, "a"), (901, "", None, "b"), (902, "x", None, "only"), (None, "p q", None, None), (5, out[5][1], None, out[5][3]), (903, cases.prose(9, 30_000), None, "b"), (904, " ", None, "void")]
 
 
 @pytest.mark.parametrize("extra", [False, True])
