@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import glob
 import os
 import subprocess
 import sys
@@ -54,7 +53,7 @@ def parser() -> argparse.ArgumentParser:
     command("update", s, ("-q", "query", str, ...), ("-t", "target", str, None))
     command("bulkupdate", s, ("-q", "query", str, ...), t, ("-e", "time", int, 0), ("-n", "forks", int, 1))
     command("bulkdelete", s, t, ("-p", "predicate", str, None), ("-b", "subject", str, None), ("-o", "object", str, None), ("-g", "graph", list, None))
-    command("stats", s, t, ("-r", "threshold", int, 1000), ("-c", "graph", str, None))
+    command("stats", s, t, ("-r", "threshold", int, 1000), ("-c", "graph", str, None), ("-u", "refresh", bool, 0))
     command("summary", s, t, ("-d", "decimate", int, 100))
     command("esindex", s, t, ("-g", "graph", str, None))
     command("presplit", s, ("-d", "decimate", int, 1000), ("-l", "limit", int, 80_000_000))
@@ -68,11 +67,13 @@ def _query(text: str) -> str:
     return open(text[1:], encoding="utf-8").read() if text.startswith("@") else text
 
 
-def _queries(pattern: str) -> dict[str, str]:
-    files = sorted(f for g in pattern.split(",") for f in (glob.glob(os.path.join(g, "**", "*"), recursive=True) if os.path.isdir(g) else glob.glob(g, recursive=True)) if os.path.isfile(f))
+def _queries(spark: SparkSession, pattern: str) -> dict[str, str]:
+    """The texts of the files under comma-separated paths, by name."""
+    files = loading.files_under(spark, pattern)
     if not files:
         raise SystemExit(f"no query files in {pattern}")
-    return {os.path.splitext(os.path.basename(f))[0]: open(f, encoding="utf-8").read() for f in files}
+    read = lambda f: (spark.read.text(f, wholetext=True).first() or [""])[0]
+    return {os.path.splitext(os.path.basename(f))[0]: read(f) for f in files}
 
 
 def dataset(spark: SparkSession, path: str) -> Dataset:
@@ -99,12 +100,12 @@ def main(args: list[str] | None = None) -> int:
         if n is not None:
             print(n)
     elif a.command == "bulkexport":
-        print("\n".join(bulk_export(engine, _queries(a.query), a.target, a.forks)))
+        print("\n".join(bulk_export(engine, _queries(spark, a.query), a.target, a.forks)))
     elif a.command == "update":
         new = Updater(d, loader=lambda uri: loading.load(spark, uri)).run(_query(a.query))
         loading.write(new.quads.df, a.target or a.source + ".updated", "overwrite")
     elif a.command == "bulkupdate":
-        loading.write(bulk_update(d, list(_queries(a.query).values()), a.time, a.forks).quads.df, a.target, "overwrite")
+        loading.write(bulk_update(d, list(_queries(spark, a.query).values()), a.time, a.forks).quads.df, a.target, "overwrite")
     elif a.command == "bulkdelete":
         from .terms import parse_term
 
@@ -112,7 +113,7 @@ def main(args: list[str] | None = None) -> int:
         graphs = [None if g == "NONE" else g for g in a.graph] if a.graph else None
         loading.write(bulk_delete(quads, s=term(a.subject), p=term(a.predicate), o=term(a.object), graphs=graphs), a.target, "overwrite")
     elif a.command == "stats":
-        out = stats.void(quads, a.threshold, a.graph)
+        out = (stats.refreshed if a.refresh else stats.void)(quads, a.threshold, a.graph)
         write_rdf(out, a.target) if "." in os.path.basename(a.target) else loading.write(out, a.target)
     elif a.command == "summary":
         out = summary.as_quads(summary.summary(quads, a.decimate))

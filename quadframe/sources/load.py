@@ -35,8 +35,8 @@ def graph_name(pattern: str, uri: str) -> str:
     return pattern.replace("{0}", uri).replace("{1}", path).replace("{2}", os.path.basename(path))
 
 
-def _files(spark: SparkSession, paths: str) -> list[str]:
-    """Files under the comma-separated paths with a known RDF extension."""
+def files_under(spark: SparkSession, paths: str) -> list[str]:
+    """Files under the comma-separated paths, of any store that Hadoop reads; folders are searched."""
     jvm, conf, out = spark._jvm, spark._jsc.hadoopConfiguration(), []
     for p in paths.split(","):
         root = jvm.org.apache.hadoop.fs.Path(p.strip())
@@ -44,9 +44,7 @@ def _files(spark: SparkSession, paths: str) -> list[str]:
         for status in fs.globStatus(root) or []:
             files = fs.listFiles(status.getPath(), True)
             while files.hasNext():
-                name = files.next().getPath().toString()
-                if extension(name)[0] in formats.READERS:
-                    out.append(name)
+                out.append(files.next().getPath().toString())
     return sorted(set(out))
 
 
@@ -59,7 +57,7 @@ def load(spark: SparkSession, paths: str, graph: str | None = None, override: bo
     and split where they can be. Prefixes that a document declares are kept as triples, as namespaces() reads
     them.
     """
-    files = _files(spark, paths)
+    files = [f for f in files_under(spark, paths) if extension(f)[0] in formats.READERS]
     lines = [f for f in files if extension(f)[0] in (".nt", ".nq") and formats.READERS[extension(f)[0]] is formats.read_lines]
     rest = [f for f in files if f not in lines]
     schema = pa.schema([(n, pa.string()) for n in "spog"])

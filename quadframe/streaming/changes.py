@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..operators.timeline import compact, latest
 
 
-def current(events: DataFrame, watermark: str | None = None, time: str | None = None) -> DataFrame:
-    """Last operation per quad of a streaming (or static) frame; write it in update or complete mode. With
-    a watermark on a timestamp column, events later than that are dropped and their state is freed."""
-    if watermark and time:
-        events = events.withWatermark(time, watermark)
+def current(events: DataFrame) -> DataFrame:
+    """Last operation per quad of a streaming (or static) frame; write it in update or complete mode.
+
+    The state is one row for each quad ever seen. It is never freed, as an event may be late by any time; for
+    long streams, log_sink() with compactions bounds it."""
     return latest(events, ["s", "p", "o", "g"])
 
 

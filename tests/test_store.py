@@ -451,6 +451,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["bulkdelete", "-s", store, "-t", str(tmp_path / "less"), "-b", "<urn:s1>", "-g", "urn:g"]) == 0
     assert spark.read.parquet(str(tmp_path / "less")).count() == 19
     assert cli.main(["stats", "-s", store, "-t", str(tmp_path / "stats.nt"), "-r", "5"]) == 0
+    assert cli.main(["stats", "-s", store, "-t", str(tmp_path / "refreshed"), "-r", "5", "-u"]) == 0
+    both = spark.read.parquet(str(tmp_path / "refreshed"))
+    assert both.filter("g = '<urn:g>'").count() == 20 and both.filter("g <> '<urn:g>'").count() == spark.read.text(str(tmp_path / "stats.nt")).count()
+    (tmp_path / "asks" / "deep").mkdir(parents=True)
+    (tmp_path / "asks" / "one.rq").write_text("SELECT ?s\n{ ?s ?p ?o }")
+    (tmp_path / "asks" / "deep" / "two.rq").write_text("SELECT ?o { ?s ?p ?o }")
+    assert cli.main(["bulkexport", "-s", store, "-q", str(tmp_path / "asks"), "-t", str(tmp_path / "out-{0}.csv")]) == 0
+    assert (tmp_path / "out-one.csv").exists() and (tmp_path / "out-two.csv").exists()
     assert cli.main(["summary", "-s", store, "-t", str(tmp_path / "summary.nq"), "-d", "1"]) == 0
     assert cli.main(["esindex", "-s", store, "-t", str(tmp_path / "index")]) == 0
     assert cli.main(["profile", "-s", store, "-q", "SELECT * { ?s ?p ?o }"]) == 0 and cli.main(["presplit", "-s", store, "-d", "1"]) == 0
