@@ -456,8 +456,9 @@ class Compiler:
             keep = F.coalesce(holds, F.lit(False)) & (F.col(n) > 0) if c.op == "any" else (F.col(n) == 0) | F.coalesce(holds, F.lit(False))
             return Rel(df.filter(keep), rel.lanes, rel.order)
         holds = F.coalesce(compare(op, v, other.value()), F.lit(False))
-        if c.op == "any" and op == "=" and v.kind == other.value().kind and v.kind in ("integer", "double", "float", "string", "boolean", "date", "dateTime"):
-            holds = (v.col == other.value().col) & holds  # a key to join by
+        w = other.value()
+        if c.op == "any" and op == "=" and (is_plain(v) and is_plain(w) or v.kind == w.kind and v.kind in ("integer", "double", "float", "boolean", "date", "dateTime")):
+            holds = (v.col == w.col) & holds  # a key to join by
         return Rel(rel.df.join(own.df.distinct(), holds if c.op == "any" else ~holds, "left_semi" if c.op == "any" else "left_anti"), rel.lanes, rel.order)
 
     def flagged(self, rel: Rel, e: Any) -> tuple[Rel, Any]:
