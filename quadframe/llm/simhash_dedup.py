@@ -5,9 +5,9 @@ bit blocks, so each choice of that many blocks is one join key and no close pair
 fingerprints only enter the join (copies collapse before it), keys that many fingerprints share are split
 into chunk pairs, and a group answers with a spanning forest of its links, never with all its pairs.
 
-keep_dissimilar(), the pipeline's stage, is about texts whose shingles are similar, which few bits do not show
-(at similarity 0.8 SimHash differs in about 10 of 64): minimum hashes give its candidates, and the shingles
-themselves decide.
+keep_dissimilar(), the pipeline's stage, is about texts whose shingles are similar. At similarity 0.8 SimHash
+differs in 0.15 of its bits, too many for the pigeonhole principle, so its fingerprints have 512 bits and meet
+under many short choices of these; candidates are verified by their distance, and the shingles themselves decide.
 """
 
 from __future__ import annotations
@@ -25,9 +25,14 @@ from . import common
 
 DISTANCE = 4
 SHINGLE_WORDS = 4
-#: Of keep_dissimilar(): words of a shingle, least Jaccard similarity, and minimum hashes that find 0.9996 of the pairs at 0.8.
-KEEP_WORDS, SIMILARITY = 5, 0.8
-BANDS, BAND_ROWS = 20, 5
+#: Of keep_dissimilar(): words of a shingle, least Jaccard similarity, bits of a fingerprint.
+KEEP_WORDS, SIMILARITY, KEEP_BITS = 5, 0.8, 512
+#: Keys of KEY_BITS bits each; of the first 128 bits, so many may differ (0.15 of them do at similarity 0.8, by calculation).
+KEYS, KEY_BITS, APART = 80, 12, 40
+#: Sets of at most so many shingles have exact keys too: two of these at 0.8 differ in one shingle at most.
+SMALL_SET = 9
+#: Members of a candidate group beyond which it is split into chunk pairs; fingerprints that a part gets.
+KEEP_CHUNK, KEEP_PART = 2048, 250_000
 #: Fingerprints under one key beyond which they are split into chunk pairs.
 CHUNK = 512
 _BIT = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
@@ -190,65 +195,168 @@ def shingle_set(text: bytes, words_per_shingle: int = KEEP_WORDS) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(words[i : i + words_per_shingle]), 42) for i in range(n)], np.uint64).astype(np.uint32))
 
 
-def band_keys(shingles: np.ndarray) -> list[int]:
-    """One key for each of BANDS bands of BAND_ROWS minimum hashes; none for no shingles."""
-    if not len(shingles):
-        return []
-    r = np.random.default_rng(0)
-    factor, shift = r.integers(1 << 63, size=(2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
-    low = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint32).max, np.uint32)
+def wide_fingerprint(shingles: np.ndarray) -> bytes:
+    """SimHash of KEEP_BITS bits of a set of shingles."""
+    ones = np.zeros(KEEP_BITS, np.int64)
+    step = np.arange(1, KEEP_BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for i in range(0, len(shingles), 4096):
-        part = ((factor | np.uint64(1)) * shingles[i : i + 4096].astype(np.uint64) + shift) >> np.uint64(32)
-        low = np.minimum(low, part.min(1).astype(np.uint32))
-    return [_signed(xxhash.xxh64_intdigest(band.tobytes(), i)) for i, band in enumerate(low.reshape(BANDS, BAND_ROWS))]
+        h = shingles[i : i + 4096, None].astype(np.uint64) + step
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        ones += np.unpackbits(h.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return np.packbits(2 * ones > len(shingles), bitorder="little").tobytes()
+
+
+def small_keys(shingles: np.ndarray) -> list[int]:
+    """Of a small set: keys of itself and of itself without each shingle. Others, and the empty set, have none."""
+    if not 0 < len(shingles) <= SMALL_SET:
+        return []
+    return [_signed(xxhash.xxh64_intdigest(x.tobytes(), 9)) for x in [shingles, *(np.delete(shingles, i) for i in range(len(shingles)))] if len(x)]
 
 
 def _shingled(rows: DataFrame) -> DataFrame:
-    """(id, hash, class, keys, shingles) per row (id, hash, text); texts of one set of shingles are one class."""
-    types = {"id": pa.int64(), "hash": pa.int64(), "class": pa.int64(), "keys": pa.list_(pa.int64()), "shingles": pa.binary()}
+    """(id, hash, class, keys, bits, shingles) per row (id, hash, text); texts of one set of shingles are one class."""
+    types = {"id": pa.int64(), "hash": pa.int64(), "class": pa.int64(), "keys": pa.list_(pa.int64()), "bits": pa.binary(), "shingles": pa.binary()}
     schema = pa.schema(list(types.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t) for t in common.byte_list(b.column(2))]
-            packed = [x.tobytes() for x in sets]
-            made = [[_signed(xxhash.xxh64_intdigest(x, 7)) for x in packed], [band_keys(x) for x in sets], packed]
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], *(pa.array(m, type=t) for m, t in zip(made, list(types.values())[2:]))], schema=schema)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                sets = [shingle_set(t) for t in common.byte_list(b.column(2))]
+                packed = [x.tobytes() for x in sets]
+                made = [[_signed(xxhash.xxh64_intdigest(x, 7)) for x in packed], [small_keys(x) for x in sets], [wide_fingerprint(x) for x in sets], packed]
+                yield pa.RecordBatch.from_arrays([*b.columns[:2], *(pa.array(m, type=t) for m, t in zip(made, list(types.values())[2:]))], schema=schema)
 
     common.ship(rows.sparkSession)
-    return rows.mapInArrow(run, "id long, hash long, class long, keys array<long>, shingles binary")
+    return rows.mapInArrow(run, "id long, hash long, class long, keys array<long>, bits binary, shingles binary")
 
 
-def similar_links(shingled: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): links among classes that share a band key and whose shingles are similar, enough to connect all such."""
-    banded = shingled.groupBy("class").agg(F.first("keys").alias("keys")).select("class", F.explode("keys").alias("key"))
-    banded = common.stage(banded, "bands")
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("class").alias("x"), F.bit_xor(F.xxhash64("class")).alias("y")).filter("n > 1")
+def key_choices(n: int) -> tuple[np.ndarray, int]:
+    """The bits of every key for n fingerprints, and how many of a key's bits say which part it goes to. Keys grow with
+    n, so that unrelated fingerprints seldom meet, and their number with them, so that as many pairs at 0.8 are found."""
+    size = max(KEY_BITS, (n >> 6).bit_length())
+    agree = 1 - np.arccos(2 * SIMILARITY / (1 + SIMILARITY)) / np.pi
+    r = np.random.default_rng(0)
+    choices = np.array([r.permutation(KEEP_BITS)[:size] for _ in range(round(KEYS * agree ** (KEY_BITS - size)))])
+    return choices, min(size, max(0, (n - 1) // KEEP_PART).bit_length())
+
+
+_MET = np.dtype([("key", "<u4"), ("class", "<i8"), ("a", "<u8"), ("b", "<u8")])
+
+
+def near_groups(classes: DataFrame, n: int) -> DataFrame:
+    """classes: n rows (class, bits). Returns (class, key, to): groups of classes that agree on a choice of bits and
+    are connected by distances of at most APART; `to`, of all but a group's first, is a class so near."""
+    choices, cut = key_choices(n)
+    value = np.int64(1) << np.arange(choices.shape[1])
+    schema = pa.schema([("part", pa.int32()), ("met", pa.binary())])
+    out_schema = pa.schema([("class", pa.int64()), ("key", pa.int64()), ("to", pa.int64())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            packed = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            bits, words, met = np.unpackbits(packed, axis=1, bitorder="little"), packed.view("<u8"), np.empty(b.num_rows, _MET)
+            met["class"], met["a"], met["b"] = b.column(0).to_numpy(), words[:, 0], words[:, 1]
+            for t, choice in enumerate(choices):
+                met["key"] = bits[:, choice] @ value
+                part = (t << cut) + (met["key"].astype(np.int64) >> (len(value) - cut))
+                own = met[np.argsort(part, kind="stable")]
+                parts, first = np.unique(np.sort(part), return_index=True)
+                yield common.batch({"part": parts, "met": [x.tobytes() for x in np.split(own, first[1:])]}, schema)
+
+    def groups(part: int, blobs: list[bytes]) -> list[tuple]:
+        met = np.frombuffer(b"".join(blobs), _MET)
+        met = met[np.lexsort((met["class"], met["key"]))]
+        edges = np.flatnonzero(np.concatenate([[True], met["key"][1:] != met["key"][:-1], [True]]))
+        out, a, b, cls = [], met["a"].copy(), met["b"].copy(), met["class"].tolist()
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if j - i == 1:
+                continue
+            x, y = a[i:j], b[i:j]
+            rows = np.arange(j - i)
+            if len(rows) <= 1024:  # seldom are any two near
+                near = common.popcount(x[:, None] ^ x) + common.popcount(y[:, None] ^ y) <= APART
+                rows = np.flatnonzero(np.count_nonzero(near, 1) > 1)
+            if not len(rows):
+                continue
+            x, y, rows = x[rows], y[rows], (rows + i).tolist()
+            forest = common.spanning_links(lambda k, rest: common.popcount(x[rest] ^ x[k]) + common.popcount(y[rest] ^ y[k]) <= APART, len(rows))  # noqa: B023
+            first = {}
+            for k, m in forest:  # links come from the first on
+                if k not in first:
+                    first[k] = k
+                    out.append((cls[rows[k]], _signed(xxhash.xxh64_intdigest(f"{part} {met['key'][i]} {cls[rows[k]]}")), None))
+                first[m] = first[k]
+                out.append((cls[rows[m]], _signed(xxhash.xxh64_intdigest(f"{part} {met['key'][i]} {cls[rows[first[k]]]}")), cls[rows[k]]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blobs = None, []
+        for b in itertools.chain(batches, [None]):
+            for part, blob in zip(*(c.to_pylist() for c in b.columns)) if b is not None else [(None, None)]:
+                if part != now:
+                    if blobs and (out := groups(now, blobs)):
+                        yield common.batch(dict(zip(out_schema.names, zip(*out))), out_schema)
+                    now, blobs = part, []
+                blobs.append(blob)
+
+    dealt = classes.select("class", "bits").mapInArrow(deal, "part int, met binary")
+    return dealt.repartition(len(choices) << cut, "part").sortWithinPartitions("part").mapInArrow(run, "class long, key long, to long")
+
+
+def _similar(own: np.ndarray, flat: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of some sets, one after the other in flat, are similar to own; none is empty."""
+    there = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+    both = np.add.reduceat(there, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return both >= similarity * (sizes + len(own) - both) - 1e-9
+
+
+def similar_links(shingled: DataFrame, similarity: float = SIMILARITY, chunk: int = KEEP_CHUNK) -> DataFrame:
+    """(a, b): links among classes that are near by their fingerprints and whose shingles are similar, enough to connect
+    all such. First a group's spanning tree is verified; a group that this does not connect is compared in full."""
+    sets = common.stage(shingled.filter(F.length("shingles") > 0).groupBy("class").agg(*[F.first(c).alias(c) for c in ("keys", "bits", "shingles")]), "sets")
+    found = common.stage(near_groups(sets, sets.count()), "near")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left, right = ([np.frombuffer(x, np.uint32) for x in b.column(i).to_pylist()] for i in (2, 3))
+            keep = [bool(_similar(x, y, np.array([len(y)]), similarity)[0]) for x, y in zip(left, right)]
+            yield pa.RecordBatch.from_arrays(list(b.columns[:2]), schema=schema).filter(pa.array(keep, pa.bool_()))
+
+    tree = found.filter("to IS NOT NULL").select(F.least("class", "to").alias("a"), F.greatest("class", "to").alias("b")).distinct()
+    tree = tree.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")
+    tree = common.stage(tree.select("a", "b", "x", "y").mapInArrow(verified, "a long, b long"), "tree")
+    roots = common.stage(common.components(tree), "treeroots")
+    small = sets.select("class", F.explode("keys").alias("key"), F.lit(False).alias("seen"))
+    members = found.select("class", "key", F.lit(True).alias("seen")).union(small).join(roots, F.col("class") == F.col("node"), "left")
+    members = common.stage(members.select("class", "key", "seen", F.coalesce("root", "class").alias("root")), "members")
+    # a tree of two is settled
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("class").alias("x"), F.bit_xor(F.xxhash64("class")).alias("y"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("seen").alias("seen")).filter("low != high AND (n > 2 OR NOT seen)")
     # of keys that the same classes share, one; crowds are split into chunk pairs
     shared = shared.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
-    members = banded.join(shared, "key").withColumn("mine", F.pmod(F.xxhash64("class", F.lit(7)), F.col("chunks")).cast("int"))
+    members = members.join(shared, "key").withColumn("mine", F.pmod(F.xxhash64("class", F.lit(7)), F.col("chunks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.greatest(o, F.col("mine")) * F.col("chunks") + F.least(o, F.col("mine")))
     members = members.withColumn("cell", F.explode(pairs)).select("class", F.xxhash64("key", "cell").alias("key"))
-    sets = shingled.groupBy("class").agg(F.first("shingles").alias("shingles"))
     grouped = members.join(sets, "class").select("key", "class", "shingles").repartition(F.col("key")).sortWithinPartitions("key", "class")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def links(held: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
         sets = [np.frombuffer(x, np.uint32) for _, x in held]
         sizes = np.array([len(x) for x in sets])
 
         def close(i: int, others: np.ndarray) -> np.ndarray:
-            own, size, out = sets[i], sizes[i], np.zeros(len(others), bool)
+            size, out = sizes[i], np.zeros(len(others), bool)
             fit = np.flatnonzero(np.minimum(sizes[others], size) >= similarity * np.maximum(sizes[others], size) - 1e-9)
             for at in range(0, len(fit), 256):
                 part = fit[at : at + 256]
-                flat, n = np.concatenate([sets[j] for j in others[part]]), sizes[others[part]]
-                there = own[np.minimum(np.searchsorted(own, flat), size - 1)] == flat
-                both = np.add.reduceat(there, np.cumsum(n) - n, dtype=np.int64)
-                out[part] = both >= similarity * (n + size - both) - 1e-9
+                out[part] = _similar(sets[i], np.concatenate([sets[j] for j in others[part]]), sizes[others[part]], similarity)
             return out
 
-        return [(held[i][0], held[j][0]) for i, j in common.spanning_links(close, len(held))]
+        return [tuple(sorted((held[i][0], held[j][0]))) for i, j in common.spanning_links(close, len(held))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -262,7 +370,7 @@ def similar_links(shingled: DataFrame, similarity: float = SIMILARITY, chunk: in
             if out:
                 yield common.batch(dict(zip("ab", zip(*out))), schema)
 
-    return grouped.mapInArrow(run, "a long, b long")
+    return tree.union(grouped.mapInArrow(run, "a long, b long"))
 
 
 def keep_dissimilar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -123,3 +123,43 @@ def test_stage_by_shingle_similarity(spark):
     rows = [(None, t) for t in texts] + [(1, texts[0] + " tail"), (None, None), (3, " ")]
     kept = S.keep_dissimilar(cases.docs(spark, rows)).collect()
     assert sorted(r.text for r in kept if r.text) == sorted(texts) and len(kept) == 5
+
+
+def test_stage_candidates_come_from_simhash(spark):
+    x = S.shingle_set(cases.prose(1, 60).encode())
+    plain, mask = 0, (1 << 64) - 1
+    for bit in range(S.KEEP_BITS):
+        ones = 0
+        for h in x.tolist():
+            h = h + (bit // 64 + 1) * 0x9E3779B97F4A7C15 & mask
+            h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+            h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+            ones += (h ^ h >> 31) >> bit % 64 & 1
+        plain |= (2 * ones > len(x)) << bit
+    assert int.from_bytes(S.wide_fingerprint(x), "little") == plain
+    # 40 texts and a copy of each at a similarity of just over 0.8, and a crowd of copies
+    rows = []
+    for i in range(40):
+        words = cases.prose(400 + i, 150).split()
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join("new" if k in (20, 70, 120) else w for k, w in enumerate(words)))]
+    base = cases.prose(900, 150)
+    rows += [(100 + i, f"{base} w{i}") for i in range(30)]
+    shingled = S._shingled(S._rows(cases.docs(spark, rows))[0].select("_id", "_hash", "text")).cache()
+    of = {r["class"]: r["id"] for r in shingled.collect()}
+    groups, near = {}, S.near_groups(shingled.select("class", "bits"), len(rows)).collect()
+    for g in near:
+        groups.setdefault(g.key, set()).add(of[g["class"]])
+    assert all(any({2 * i, 2 * i + 1} <= g for g in groups.values()) for i in range(40))
+    assert all(len({x // 2 if x < 100 else 100 for x in g}) == 1 < len(g) for g in groups.values())
+    # trees, not all pairs, so a crowd's rows grow with its size
+    assert sum(g.to is None for g in near) == len(groups)
+    assert [r.doc_id for r in S.keep_dissimilar(cases.docs(spark, rows)).orderBy("doc_id").collect()] == [*range(0, 80, 2), 100]
+
+
+def test_stage_links_small_sets_exactly(spark):
+    rows = []
+    for i in range(60):
+        words = cases.prose(1000 + i, 12).split()
+        rows += [(2 * i, " ".join(words[: 8 + i % 5])), (2 * i + 1, " ".join([*words[: 8 + i % 5], "new"]))]  # 4 to 8 shingles, and one more
+    kept = S.keep_dissimilar(cases.docs(spark, rows))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 120, 2))
