@@ -148,7 +148,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     common.ship(docs.sparkSession)
     rows: dict[str, list] = {}
-    for r in drawn.mapInArrow(run, "lang string, key long, x binary").collect():
+    for r in drawn.mapInArrow(common.lean(run), "lang string, key long, x binary").collect():
         rows.setdefault(r["lang"], []).append(r)
     # equal rows share a hash
     gathered = [r for lang in sorted(rows) for r in sorted(rows[lang], key=lambda r: (r["key"], r["x"]))[:most]]
@@ -173,7 +173,7 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(common.lean(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
@@ -196,4 +196,4 @@ def accepted(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
             keep = pa.array([f[0] != UNKNOWN and f[1] >= min_score for f in found], pa.bool_())
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(keep)
 
-    return common.plain_names(docs).mapInArrow(run, docs.schema)
+    return common.plain_names(docs).mapInArrow(common.lean(run), docs.schema)

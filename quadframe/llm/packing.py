@@ -58,7 +58,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = END_ID, capacity: int
                 yield pa.RecordBatch.from_arrays([doc, pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array(np.full(len(owner), task, np.int32)), pa.array(nth)], schema=schema)
 
     common.ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(common.lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long")
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, seed: int = 1) -> np.ndarray:
@@ -133,4 +133,4 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, c
             at = np.searchsorted(keys, (length << 44) + rank, side="right") - 1
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(slots[at, 1] + rank - within[at]), pa.array(slots[at, 3])], schema=schema)
 
-    return ranked.select(*names, "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select(*names, "rank").mapInArrow(common.lean(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     common.ship(docs.sparkSession)
     keys = [F.col(c).cast("long").alias(name) for c, name in zip([id_col, hash_col], names[:-1])]
-    return docs.select(*keys, F.col(text_col).alias("text")).mapInArrow(run, ", ".join(f"{name} long" for name in names))
+    return docs.select(*keys, F.col(text_col).alias("text")).mapInArrow(common.lean(run), ", ".join(f"{name} long" for name in names))
 
 
 def key_masks(distance: int, blocks: int) -> list[int]:
@@ -135,7 +135,7 @@ def close_pairs(classes: DataFrame, distance: int = DISTANCE, blocks: int | None
             if out:
                 yield common.batch(dict(zip("ab", zip(*out))), schema)
 
-    return grouped.mapInArrow(run, "a long, b long")
+    return grouped.mapInArrow(common.lean(run), "a long, b long")
 
 
 def _components(fps: DataFrame, distance: int, blocks: int | None = None, chunk: int = CHUNK) -> DataFrame:
@@ -230,7 +230,7 @@ def _shingled(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns[:2], *(pa.array(m, type=t) for m, t in zip(made, list(types.values())[2:]))], schema=schema)
 
     common.ship(rows.sparkSession)
-    return rows.mapInArrow(run, "id long, hash long, class long, keys array<long>, bits binary, shingles binary")
+    return rows.mapInArrow(common.lean(run), "id long, hash long, class long, keys array<long>, bits binary, shingles binary")
 
 
 def key_choices(n: int) -> tuple[np.ndarray, int]:
@@ -304,8 +304,8 @@ def near_groups(classes: DataFrame, n: int) -> DataFrame:
                     now, blobs = part, []
                 blobs.append(blob)
 
-    dealt = classes.select("class", "bits").mapInArrow(deal, "part int, met binary")
-    return dealt.repartition(len(choices) << cut, "part").sortWithinPartitions("part").mapInArrow(run, "class long, key long, to long")
+    dealt = classes.select("class", "bits").mapInArrow(common.lean(deal), "part int, met binary")
+    return dealt.repartition(len(choices) << cut, "part").sortWithinPartitions("part").mapInArrow(common.lean(run), "class long, key long, to long")
 
 
 def _similar(own: np.ndarray, flat: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
@@ -330,7 +330,7 @@ def similar_links(shingled: DataFrame, similarity: float = SIMILARITY, chunk: in
 
     tree = found.filter("to IS NOT NULL").select(F.least("class", "to").alias("a"), F.greatest("class", "to").alias("b")).distinct()
     tree = tree.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")
-    tree = common.stage(tree.select("a", "b", "x", "y").mapInArrow(verified, "a long, b long"), "tree")
+    tree = common.stage(tree.select("a", "b", "x", "y").mapInArrow(common.lean(verified), "a long, b long"), "tree")
     roots = common.stage(common.components(tree), "treeroots")
     small = sets.select("class", F.explode("keys").alias("key"), F.lit(False).alias("seen"))
     members = found.select("class", "key", F.lit(True).alias("seen")).union(small).join(roots, F.col("class") == F.col("node"), "left")
@@ -370,7 +370,7 @@ def similar_links(shingled: DataFrame, similarity: float = SIMILARITY, chunk: in
             if out:
                 yield common.batch(dict(zip("ab", zip(*out))), schema)
 
-    return tree.union(grouped.mapInArrow(run, "a long, b long"))
+    return tree.union(grouped.mapInArrow(common.lean(run), "a long, b long"))
 
 
 def keep_dissimilar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -210,7 +210,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             h, n = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], schema=count_schema)
 
-    counted = docs.select("text").mapInArrow(grams, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
+    counted = docs.select("text").mapInArrow(common.lean(grams), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
     dup = common.stage(counted, "grams")
     n_dup, total = dup.agg(F.count("h"), F.coalesce(F.sum("n"), F.lit(0))).collect()[0]
     bits, filled = common.bloom(dup, n_dup, BLOOM_BITS)
@@ -315,8 +315,8 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if blobs and (out := part_spans(blobs)):
             yield out
 
-    exchanged = docs.select("id", "dk", "text").mapInArrow(runs, "part int, meta binary, rests binary, lefts binary")
-    found = exchanged.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(merged, "doc long, dk long, s long, e long, k1 long, k2 long")
+    exchanged = docs.select("id", "dk", "text").mapInArrow(common.lean(runs), "part int, meta binary, rests binary, lefts binary")
+    found = exchanged.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(common.lean(merged), "doc long, dk long, s long, e long, k1 long, k2 long")
     if not heavy:
         return common.stage(found.select("doc", "dk", "s", "e"), "spans")
     found = common.stage(found, "spans")
@@ -369,7 +369,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
                 yield common.batch(dict(zip(schema.names, zip(*rows))), schema)
 
     joined = _joined(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), length, "doc_id", "text")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(common.lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicated_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -403,4 +403,4 @@ def deduplicated_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 columns[k] = pa.array(changed, columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
-    return common.plain_names(_joined(docs, length, "doc_id", "text")).mapInArrow(run, schema)
+    return common.plain_names(_joined(docs, length, "doc_id", "text")).mapInArrow(common.lean(run), schema)

@@ -2,7 +2,7 @@ import random
 import zlib
 
 import corpus_pipeline as P
-from quadframe.llm import language_id, packing
+from quadframe.llm import common, language_id, packing
 
 from . import cases, test_classifiers, test_simhash, test_suffix, test_tokens
 
@@ -79,3 +79,20 @@ def test_run_on_files_and_empty(spark, tmp_path):
     assert all(sum(n for _, n in own) == max(o + n for o, n in own) <= packing.CAPACITY for own in held.values())
     docs.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
     assert P.run(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_workers_give_memory_back():
+    def size():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 >> 20
+
+    def run(batches):
+        kept = [bytes(1000) for _ in range(200_000)]  # small blocks, which a worker would keep
+        yield from batches
+        last.append(bytes(1000))  # above them, so that the heap's end does not move down by itself
+        del kept
+
+    last = []
+    before = size()
+    assert list(common.lean(run)(iter([1, 2]))) == [1, 2]
+    assert size() - before < 100
