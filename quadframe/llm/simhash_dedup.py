@@ -28,7 +28,9 @@ SHINGLE_WORDS = 4
 #: Of keep_dissimilar(): words of a shingle, least Jaccard similarity, bits of a fingerprint.
 KEEP_WORDS, SIMILARITY, KEEP_BITS = 5, 0.8, 512
 #: Keys of KEY_BITS bits each; of the first 128 bits, so many may differ (0.15 of them do at similarity 0.8, by calculation).
-KEYS, KEY_BITS, APART = 80, 12, 40
+KEYS, KEY_BITS, APART = 80, 12, 36
+#: Of all bits, so many may differ.
+APART_IN_ALL = 115
 #: Sets of at most so many shingles have exact keys too: two of these at 0.8 differ in one shingle at most.
 SMALL_SET = 9
 #: Members of a candidate group beyond which it is split into chunk pairs; fingerprints that a part gets.
@@ -317,9 +319,15 @@ def _similar(own: np.ndarray, flat: np.ndarray, sizes: np.ndarray, similarity: f
 
 def similar_links(shingled: DataFrame, similarity: float = SIMILARITY, chunk: int = KEEP_CHUNK) -> DataFrame:
     """(a, b): links among classes that are near by their fingerprints and whose shingles are similar, enough to connect
-    all such. First a group's spanning tree is verified; a group that this does not connect is compared in full."""
+    all such. First the groups' spanning trees are verified; what they connect but the verified links do not is
+    compared in full."""
     sets = common.stage(shingled.filter(F.length("shingles") > 0).groupBy("class").agg(*[F.first(c).alias(c) for c in ("keys", "bits", "shingles")]), "sets")
-    found = common.stage(near_groups(sets, sets.count()), "near")
+    found = common.stage(near_groups(sets, sets.count()).filter("to IS NOT NULL").select(F.least("class", "to").alias("a"), F.greatest("class", "to").alias("b")).distinct(), "near")
+    trees = common.stage(common.components(found), "trees").select(F.col("node").alias("class"), F.col("root").alias("key"))
+    small = sets.select("class", F.explode("keys").alias("key"))
+    small = small.join(small.groupBy("key").count().filter("count > 1").select("key"), "key", "left_semi").select("class", "key")
+    members = common.stage(trees.withColumn("seen", F.lit(True)).union(small.withColumn("seen", F.lit(False))), "members")
+    sets = common.stage(sets.join(members.select("class").distinct(), "class", "left_semi").select("class", "bits", "shingles"), "few")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,13 +336,11 @@ def similar_links(shingled: DataFrame, similarity: float = SIMILARITY, chunk: in
             keep = [bool(_similar(x, y, np.array([len(y)]), similarity)[0]) for x, y in zip(left, right)]
             yield pa.RecordBatch.from_arrays(list(b.columns[:2]), schema=schema).filter(pa.array(keep, pa.bool_()))
 
-    tree = found.filter("to IS NOT NULL").select(F.least("class", "to").alias("a"), F.greatest("class", "to").alias("b")).distinct()
-    tree = tree.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")
+    tree = found.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")
     tree = common.stage(tree.select("a", "b", "x", "y").mapInArrow(common.lean(verified), "a long, b long"), "tree")
     roots = common.stage(common.components(tree), "treeroots")
-    small = sets.select("class", F.explode("keys").alias("key"), F.lit(False).alias("seen"))
-    members = found.select("class", "key", F.lit(True).alias("seen")).union(small).join(roots, F.col("class") == F.col("node"), "left")
-    members = common.stage(members.select("class", "key", "seen", F.coalesce("root", "class").alias("root")), "members")
+    members = members.join(roots, F.col("class") == F.col("node"), "left").select("class", "key", "seen", F.coalesce("root", "class").alias("root"))
+    members = common.stage(members, "rooted")
     # a tree of two is settled
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("class").alias("x"), F.bit_xor(F.xxhash64("class")).alias("y"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("seen").alias("seen")).filter("low != high AND (n > 2 OR NOT seen)")
     # of keys that the same classes share, one; crowds are split into chunk pairs
@@ -342,15 +348,17 @@ def similar_links(shingled: DataFrame, similarity: float = SIMILARITY, chunk: in
     members = members.join(shared, "key").withColumn("mine", F.pmod(F.xxhash64("class", F.lit(7)), F.col("chunks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.greatest(o, F.col("mine")) * F.col("chunks") + F.least(o, F.col("mine")))
     members = members.withColumn("cell", F.explode(pairs)).select("class", F.xxhash64("key", "cell").alias("key"))
-    grouped = members.join(sets, "class").select("key", "class", "shingles").repartition(F.col("key")).sortWithinPartitions("key", "class")
+    grouped = members.join(sets, "class").select("key", "class", "bits", "shingles").repartition(F.col("key")).sortWithinPartitions("key", "class")
 
-    def links(held: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
-        sets = [np.frombuffer(x, np.uint32) for _, x in held]
+    def links(held: list[tuple[int, bytes, bytes]]) -> list[tuple[int, int]]:
+        sets = [np.frombuffer(x, np.uint32) for _, _, x in held]
+        bits = np.frombuffer(b"".join([x for _, x, _ in held]), np.uint64).reshape(len(held), -1)
         sizes = np.array([len(x) for x in sets])
 
         def close(i: int, others: np.ndarray) -> np.ndarray:
             size, out = sizes[i], np.zeros(len(others), bool)
-            fit = np.flatnonzero(np.minimum(sizes[others], size) >= similarity * np.maximum(sizes[others], size) - 1e-9)
+            fit = np.minimum(sizes[others], size) >= similarity * np.maximum(sizes[others], size) - 1e-9
+            fit = np.flatnonzero(fit & ((common.popcount(bits[others] ^ bits[i]).sum(1, dtype=np.int64) <= APART_IN_ALL) | (sizes[others] <= SMALL_SET)))
             for at in range(0, len(fit), 256):
                 part = fit[at : at + 256]
                 out[part] = _similar(sets[i], np.concatenate([sets[j] for j in others[part]]), sizes[others[part]], similarity)
@@ -362,11 +370,11 @@ def similar_links(shingled: DataFrame, similarity: float = SIMILARITY, chunk: in
         now, held = None, []
         for b in itertools.chain(batches, [None]):
             out = []
-            for key, cls, packed in zip(*(c.to_pylist() for c in b.columns)) if b is not None else [(None, None, None)]:
+            for key, *row in zip(*(c.to_pylist() for c in b.columns)) if b is not None else [(None,)]:
                 if key != now:
                     out += links(held) if len(held) > 1 else []
                     now, held = key, []
-                held.append((cls, packed))
+                held.append(tuple(row))
             if out:
                 yield common.batch(dict(zip("ab", zip(*out))), schema)
 
