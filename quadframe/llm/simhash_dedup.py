@@ -35,6 +35,8 @@ APART_IN_ALL = 115
 SMALL_SET = 9
 #: Members of a candidate group beyond which it is split into chunk pairs; fingerprints that a part gets.
 KEEP_CHUNK, KEEP_PART = 2048, 250_000
+#: Keys of a class that meet in one part, which gives one forest for all of them.
+FOLD = 4
 #: Fingerprints under one key beyond which they are split into chunk pairs.
 CHUNK = 512
 _BIT = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
@@ -242,7 +244,7 @@ def key_choices(n: int) -> tuple[np.ndarray, int]:
     agree = 1 - np.arccos(2 * SIMILARITY / (1 + SIMILARITY)) / np.pi
     r = np.random.default_rng(0)
     choices = np.array([r.permutation(KEEP_BITS)[:size] for _ in range(round(KEYS * agree ** (KEY_BITS - size)))])
-    return choices, min(size, max(0, (n - 1) // KEEP_PART).bit_length())
+    return choices, min(size, max(0, (FOLD * n - 1) // KEEP_PART).bit_length())
 
 
 _MET = np.dtype([("key", "<u4"), ("class", "<i8"), ("a", "<u8"), ("b", "<u8")])
@@ -264,8 +266,9 @@ def near_groups(classes: DataFrame, n: int) -> DataFrame:
             bits, words, met = np.unpackbits(packed, axis=1, bitorder="little"), packed.view("<u8"), np.empty(b.num_rows, _MET)
             met["class"], met["a"], met["b"] = b.column(0).to_numpy(), words[:, 0], words[:, 1]
             for t, choice in enumerate(choices):
-                met["key"] = bits[:, choice] @ value
-                part = (t << cut) + (met["key"].astype(np.int64) >> (len(value) - cut))
+                key = bits[:, choice] @ value
+                met["key"] = key + (t % FOLD << len(value))
+                part = (t // FOLD << cut) + (key >> (len(value) - cut))
                 own = met[np.argsort(part, kind="stable")]
                 parts, first = np.unique(np.sort(part), return_index=True)
                 yield common.batch({"part": parts, "met": [x.tobytes() for x in np.split(own, first[1:])]}, schema)
@@ -307,7 +310,7 @@ def near_groups(classes: DataFrame, n: int) -> DataFrame:
                 blobs.append(blob)
 
     dealt = classes.select("class", "bits").mapInArrow(common.lean(deal), "part int, met binary")
-    return dealt.repartition(len(choices) << cut, "part").sortWithinPartitions("part").mapInArrow(common.lean(run), "class long, key long, to long")
+    return dealt.repartition(-(-len(choices) // FOLD) << cut, "part").sortWithinPartitions("part").mapInArrow(common.lean(run), "class long, key long, to long")
 
 
 def _similar(own: np.ndarray, flat: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
@@ -322,14 +325,32 @@ def similar_links(shingled: DataFrame, similarity: float = SIMILARITY, chunk: in
     all such. First the groups' spanning trees are verified; what they connect but the verified links do not is
     compared in full."""
     sets = common.stage(shingled.filter(F.length("shingles") > 0).groupBy("class").agg(*[F.first(c).alias(c) for c in ("keys", "bits", "shingles")]), "sets")
-    found = common.stage(near_groups(sets, sets.count()).filter("to IS NOT NULL").select(F.least("class", "to").alias("a"), F.greatest("class", "to").alias("b")).distinct(), "near")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a part's links, those that connect what others before them did not."""
+        root: dict[int, int] = {}
+        for b in batches:
+            out = []
+            for i, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x, y = i, j
+                while (up := root.get(x, x)) != x:
+                    root[x] = x = root.get(up, up)
+                while (up := root.get(y, y)) != y:
+                    root[y] = y = root.get(up, up)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.append((min(i, j), max(i, j)))
+            if out:
+                yield common.batch(dict(zip("ab", zip(*out))), schema)
+
+    found = near_groups(sets, sets.count()).filter("to IS NOT NULL").select("class", "to")
+    found = common.stage(found.mapInArrow(common.lean(forest), "a long, b long").distinct(), "near")
     trees = common.stage(common.components(found), "trees").select(F.col("node").alias("class"), F.col("root").alias("key"))
     small = sets.select("class", F.explode("keys").alias("key"))
     small = small.join(small.groupBy("key").count().filter("count > 1").select("key"), "key", "left_semi").select("class", "key")
     members = common.stage(trees.withColumn("seen", F.lit(True)).union(small.withColumn("seen", F.lit(False))), "members")
     sets = common.stage(sets.join(members.select("class").distinct(), "class", "left_semi").select("class", "bits", "shingles"), "few")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             left, right = ([np.frombuffer(x, np.uint32) for x in b.column(i).to_pylist()] for i in (2, 3))
