@@ -24,11 +24,13 @@ if sys.byteorder != "little":
     raise ImportError("ids are kept as little-endian 32-bit integers")
 
 #: Bytes of text, one text at least, that are cut and encoded at once.
-PORTION = 8 << 20
-#: Chunks that a worker remembers, of so many bytes at most: with their ids some 30 MB.
-REMEMBERED, REMEMBERED_SIZE = 500_000, 32
+PORTION = 2 << 20
+#: Chunks that a worker remembers, of so many bytes at most: with their ids some 8 MB.
+REMEMBERED, REMEMBERED_SIZE = 200_000, 32
 #: Plain words that the tokenizer gets as one text, with a mark between them.
 _GROUP = 256
+#: Chunks that one call of the tokenizer gets: its results hold much more than the ids.
+_CALL = 32 * _GROUP
 _OTHER, _SPACE, _LINE, _LETTER, _MARK = range(5)
 _KIND = np.full(256, _OTHER, np.uint8)
 _KIND[list(b" \t")] = _SPACE
@@ -89,12 +91,14 @@ class Encoder:
     def encode(self, texts: pa.Array, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Per portion of texts, in order: all their ids, end_id after each text's, and where each text ends
         among them. A null is an empty text."""
-        flat = texts.cast(pa.large_binary()).fill_null(b"")
-        ends = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
-        data, start = np.frombuffer(flat.buffers()[2] or b"", np.uint8), 0
-        while start < len(flat):
+        size = pc.binary_length(texts).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+        ends, start = np.concatenate([[0], np.cumsum(size)]), 0
+        while start < len(texts):
             stop = max(start + 1, int(np.searchsorted(ends, ends[start] + PORTION, "right")) - 1)
-            yield self._portion(data[ends[start] : ends[stop]], ends[start : stop + 1] - ends[start], end_id)
+            flat = texts.slice(start, stop - start).cast(pa.large_binary()).fill_null(b"")
+            first = int(np.frombuffer(flat.buffers()[1], np.int64)[flat.offset])
+            data = np.frombuffer(flat.buffers()[2] or b"", np.uint8)[first : first + ends[stop] - ends[start]]
+            yield self._portion(data, ends[start : stop + 1] - ends[start], end_id)
             start = stop
 
     def _encoded(self, chunks: pa.Array) -> pa.Array:
@@ -103,13 +107,17 @@ class Encoder:
         letters, size = np.concatenate([[0], np.cumsum(_KIND[data] == _LETTER)]), np.diff(offsets)
         letters = letters[offsets[1:]] - letters[offsets[:-1]]
         plain = (letters > 0) & ((letters == size) | ((letters == size - 1) & (data[offsets[:-1]] == 32))) & (len(self.mark) == 1)
-        words, others = chunks.filter(pa.array(plain)).to_pylist(), chunks.filter(pa.array(~plain)).to_pylist()
-        grouped = self._ids([b"|".join(words[i : i + _GROUP]).decode() + "|" for i in range(0, len(words), _GROUP)])
-        flat = np.concatenate([np.empty(0, np.uint32), *(np.array(ids, np.uint32) for ids in grouped)])
-        ends = np.flatnonzero(flat == self.mark[0]) if words else np.empty(0, np.int64)
-        ends = ends - np.arange(len(ends))
-        own = pa.LargeListArray.from_arrays(np.concatenate([[0], ends]), pa.array(flat[flat != self.mark[0]] if words else flat))
-        both = pa.concat_arrays([own, _lists(self._ids([x.decode() for x in others]))])
+        words, others = chunks.filter(pa.array(plain)), chunks.filter(pa.array(~plain))
+        both = [_lists([])]
+        for i in range(0, len(words), _CALL):
+            some = words.slice(i, _CALL).to_pylist()
+            grouped = self._ids([b"|".join(some[j : j + _GROUP]).decode() + "|" for j in range(0, len(some), _GROUP)])
+            flat = np.concatenate([np.array(ids, np.uint32) for ids in grouped])
+            ends = np.flatnonzero(flat == self.mark[0])
+            both.append(pa.LargeListArray.from_arrays(np.concatenate([[0], ends - np.arange(len(ends))]), pa.array(flat[flat != self.mark[0]])))
+        for i in range(0, len(others), _CALL):
+            both.append(_lists(self._ids([x.decode() for x in others.slice(i, _CALL).to_pylist()])))
+        both = pa.concat_arrays(both)
         return both.take(pa.array(np.argsort(np.argsort(~plain, kind="stable"), kind="stable")))
 
     def _looked_up(self, chunks: pa.Array) -> pa.Array:

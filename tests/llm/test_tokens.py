@@ -1,5 +1,7 @@
 import functools
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -41,6 +43,34 @@ def test_chunks_encode_like_the_whole(name, portion, remembered, monkeypatch):
     assert len(e.known) == len(e.known_ids) <= remembered
 
 
+ENCODES_20_MB = """
+import random, re
+import pyarrow as pa
+from quadframe.llm import packing, tokens
+
+def size(what):
+    return int(re.search(what + r":\\s+(\\d+)", open("/proc/self/status").read())[1]) >> 10
+
+r = random.Random(1)
+words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(4, 12))) for _ in range(400_000)]
+texts = pa.array([" ".join(r.choices(words, k=240)) for _ in range(10_000)])
+del words
+e = tokens.Encoder(tokens.public_path(packing.VOCABULARY))
+list(e.encode(texts.slice(0, 10), 1))
+open("/proc/self/clear_refs", "w").write("5")
+before = size("VmRSS")
+for _ in e.encode(texts, 1):
+    pass
+print(texts.nbytes >> 20, size("VmHWM") - before)
+"""
+
+
+def test_a_worker_needs_little_beside_its_batch():
+    said = subprocess.run([sys.executable, "-c", ENCODES_20_MB], env={"PYTHONPATH": ":".join(x for x in sys.path if x)}, capture_output=True, text=True, check=True).stdout
+    batch, more = map(int, said.split())
+    assert batch >= 19 and more < 160, said
+
+
 def check_packed(rows, got, capacity):
     want = {}
     for doc, text, *_ in rows:
