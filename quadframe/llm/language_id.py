@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,7 +80,8 @@ class Choice:
         fitted = []
         for i, j in self.pairs:
             rows = np.isin(of, [names[i], names[j]])
-            fitted.append(fit_machine(x[rows], np.where(of[rows] == names[i], 1, -1).astype(np.float32)))
+            own = x if rows.all() else x[rows]  # not copied where there are but two
+            fitted.append(fit_machine(own, np.where(of[rows] == names[i], 1, -1).astype(np.float32)))
         self.w = np.array([w for w, _ in fitted], np.float32).reshape(len(fitted), x.shape[1])
         self.b = np.array([b for _, b in fitted], np.float32)
 
@@ -142,7 +144,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             for lang, key, text in zip(*(b.column(i).to_pylist() for i in range(3))):
                 best.setdefault(lang, []).append((key, text))
             best = {k: sorted(v)[:most] for k, v in best.items()}
-        rows = [(lang, key, features(text).astype(np.float16).tobytes()) for lang, v in best.items() for key, text in v]
+        rows = [(lang, key, zlib.compress(features(text).astype(np.float16).tobytes(), 1)) for lang, v in best.items() for key, text in v]
         if rows:
             yield common.batch(dict(zip(schema.names, zip(*rows))), schema)
 
@@ -152,7 +154,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         rows.setdefault(r["lang"], []).append(r)
     # equal rows share a hash
     gathered = [r for lang in sorted(rows) for r in sorted(rows[lang], key=lambda r: (r["key"], r["x"]))[:most]]
-    x = np.array([np.frombuffer(r["x"], np.float16) for r in gathered], np.float32).reshape(len(gathered), BUCKETS)
+    x = np.empty((len(gathered), BUCKETS), np.float32)
+    for own, r in zip(x, gathered):
+        own[:] = np.frombuffer(zlib.decompress(r["x"]), np.float16)
     return Model(x, np.array([r["lang"] for r in gathered], object))
 
 

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -57,6 +58,16 @@ def test_language_filter_and_empty(spark, languages):
     assert {r.lang_pred for r in L.identify(cases.docs(spark, [(1, "abc"), (2, None)])).collect()} == {"und"}
 
 
+def test_two_families_are_fitted_without_a_copy():
+    x = np.random.default_rng(0).random((800, L.BUCKETS), np.float32)
+    lang = np.array(["en", "fr"] * 400, object)
+    tracemalloc.start()
+    L.Model(x, lang)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 0.75 * x.nbytes  # one family's rows at a time
+
+
 def test_one_versus_one_within_family():
     r = random.Random(3)
     data = [(text(r, words, 40), lang) for lang, words in (("en", EN), ("de", DE), ("fr", FR), ("es", ES), ("xx", ["zqx", "qzz", "xqz"])) for _ in range(30)]
