@@ -350,7 +350,9 @@ def similar_links(shingled: DataFrame, similarity: float = SIMILARITY, chunk: in
     small = sets.select("class", F.explode("keys").alias("key"))
     small = small.join(small.groupBy("key").count().filter("count > 1").select("key"), "key", "left_semi").select("class", "key")
     members = common.stage(trees.withColumn("seen", F.lit(True)).union(small.withColumn("seen", F.lit(False))), "members")
-    sets = common.stage(sets.join(members.select("class").distinct(), "class", "left_semi").select("class", "bits", "shingles"), "few")
+    every, sets = sets, common.stage(sets.join(members.select("class").distinct(), "class", "left_semi").select("class", "bits", "shingles"), "few")
+    common.unstage(every)
+
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             left, right = ([np.frombuffer(x, np.uint32) for x in b.column(i).to_pylist()] for i in (2, 3))
@@ -413,5 +415,7 @@ def keep_dissimilar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     rows, at, mark = _rows(docs)
     shingled = common.stage(_shingled(rows.select(at, mark, "text")), "shingles")
     roots = common.components(common.stage(similar_links(shingled, similarity), "links"))
-    named = shingled.select("id", "hash", "class").join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
+    classes = common.stage(shingled.select("id", "hash", "class"), "classes")
+    common.unstage(shingled)  # the shingles are not needed any more
+    named = classes.join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
     return _first_rows(rows, at, mark, named, docs.columns)

@@ -1,6 +1,9 @@
+import os
+
 import corpus_pipeline
 import xxhash
 
+from quadframe.llm import common
 from quadframe.llm import simhash_dedup as S
 
 from . import cases
@@ -163,3 +166,13 @@ def test_stage_links_small_sets_exactly(spark):
         rows += [(2 * i, " ".join(words[: 8 + i % 5])), (2 * i + 1, " ".join([*words[: 8 + i % 5], "new"]))]  # 4 to 8 shingles, and one more
     kept = S.keep_dissimilar(cases.docs(spark, rows))
     assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 120, 2))
+
+
+def test_stage_leaves_no_shingles_on_disk(spark):
+    folder = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    docs = cases.docs(spark, [(i, cases.prose(i // 2, 30)) for i in range(40)])
+    kept = S.keep_dissimilar(docs)
+    left = {x.split("-")[1] for x in set(os.listdir(folder)) - before}
+    assert "classes" in left and not left & {"shingles", "sets"}
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 40, 2))
