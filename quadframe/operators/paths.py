@@ -1,14 +1,16 @@
 """Transitive property paths: set semantics, safe on cycles.
 
 Few edges (DRIVER_EDGES at most, which bounds what is collected) are searched breadth first on the driver
-as long as the answer stays within DRIVER_PAIRS; everything else by doubling on the cluster, with a staged
-table per round, so that a path of length n takes about log2(n) rounds.
+as long as the answer stays within DRIVER_PAIRS; everything else by doubling on the cluster, with staged
+tables per round, so that a path of length n takes about log2(n) rounds. A round joins all pairs known with those
+exactly 2^i edges apart, so a pair with one path is made once, and only new pairs are written.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from dataclasses import replace
+from functools import reduce
 from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
@@ -25,6 +27,8 @@ if TYPE_CHECKING:
 
 DRIVER_EDGES = 20_000
 DRIVER_PAIRS = 500_000
+#: Known pairs per partition where pairs are made distinct.
+ROWS_DEALT = 500_000
 
 
 def _search(edges: list[tuple], starts: list | None) -> list[tuple] | None:
@@ -59,17 +63,37 @@ def _doubled(edges: DataFrame, start: object) -> DataFrame:
             new = stage(step.join(found, ["a", "b"], "left_anti"), "path")
             found = stage(found.union(new), "path")
         return found
-    reach = stage(edges.distinct(), "path")
-    n = reach.count()
+    # of the pairs, `found` has those by 1 to 2^i - 1 edges, each once, and `step` those by 2^i edges
+    step, found = stage(edges.distinct(), "path"), []
+    new, n, n_found = step, 0, 0
     while True:
-        twice = reach.select("a", F.col("b").alias("via")).join(reach.select(F.col("a").alias("via"), "b"), "via").select("a", "b")
-        more = stage(reach.union(twice).distinct(), "path")
-        m = more.count()
-        unstage(reach)
-        reach = more
-        if m == n:
-            return reach
-        n = m
+        n_new = new.count()
+        if not n_new:
+            return union_all(found or [new])
+        found.append(new)
+        n, n_found = max(n, step.count()), n_found + n_new
+        deals = 1 + (n + n_found) // ROWS_DEALT
+        twice = stage(_deal(_joined(step, step), deals).distinct(), "path")
+        if twice.isEmpty():
+            return union_all(found)
+        reach, step, passed = union_all(found), twice, step
+        longer = _deal(step.union(_joined(reach, step)), deals).distinct()
+        new = stage(longer.join(_deal(reach, deals), ["a", "b"], "left_anti"), "path")
+        if passed is not found[0]:
+            unstage(passed)
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, frames)
+
+
+def _joined(left: DataFrame, right: DataFrame) -> DataFrame:
+    return left.select("a", F.col("b").alias("via")).join(right.select(F.col("a").alias("via"), "b"), "via").select("a", "b")
+
+
+def _deal(pairs: DataFrame, n: int) -> DataFrame:
+    """By both ends and before any aggregation, so that no task holds more than its share of distinct pairs."""
+    return pairs.repartition(n, "a", "b")
 
 
 def closure(c: Compiler, node: Path) -> Rel:

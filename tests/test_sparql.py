@@ -176,6 +176,34 @@ def test_long_chain_and_cycle_on_the_cluster(spark, monkeypatch):
     assert Engine(spark, few).query("SELECT * { <urn:2> <urn:p>+ ?b }").count() == 4
 
 
+def test_doubling_writes_each_pair_once(spark, monkeypatch):
+    from quadframe.operators import paths
+
+    staged = []
+    monkeypatch.setattr(paths, "DRIVER_EDGES", 3)
+    monkeypatch.setattr(paths, "ROWS_DEALT", 500, raising=False)
+    stage = paths.stage
+    monkeypatch.setattr(paths, "stage", lambda df, name: staged.append(stage(df, name)) or staged[-1])
+    monkeypatch.setattr(paths, "unstage", lambda *frames: None)
+    p = IRI("urn:p")
+    tree = [(k, k // 2) for k in range(2, 300)]
+    more = [(k, k + 2000) for k in range(2, 9)] + [(2003, 2004), (2005, 2003)]  # several ways to a node, and a cycle
+    for edges in (tree, tree + more + [(2008, 2)]):
+        after, want, staged[:] = {}, set(), []
+        for a, b in edges:
+            after.setdefault(a, []).append(b)
+        for a in after:
+            seen, front = set(), [a]
+            while front:
+                front = [y for x in front for y in after.get(x, ()) if y not in seen and not seen.add(y)]
+            want |= {(f"<urn:{a}>", f"<urn:{y}>") for y in seen}
+        d = Dataset.from_quads(spark, [(IRI(f"urn:{a}"), p, IRI(f"urn:{b}")) for a, b in edges])
+        got = [tuple(r) for r in Engine(spark, d).query("SELECT ?a ?b { ?a <urn:p>+ ?b }", as_terms=True).collect()]
+        assert len(got) == len(want) and set(got) == want
+        if edges is tree:
+            assert sum(x.count() for x in staged) < 2 * len(want)
+
+
 def test_count_distinct_of_equal_rows(spark, tmp_path):
     """Rows of lineitem that agree in order, line, part and quantity are rows for themselves, as in its SQL."""
     import duckdb
