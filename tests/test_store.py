@@ -4,6 +4,7 @@ import bz2
 import gzip
 import json
 import random
+import re
 import urllib.error
 import urllib.parse
 import urllib.request
@@ -323,6 +324,19 @@ def test_summary_against_plain_python(spark):
     assert summary.as_quads(found).filter("p = '<urn:quadframe:cardinality>'").count() == len(want)
 
 
+def test_split_points_of_one_predicate_in_many_blocks(spark):
+    rows = [(IRI(f"urn:s{i:04}"), P, Literal("x" * (i % 17))) for i in range(400)] + [(IRI("urn:s0007"), IRI("urn:q"), Literal("y"))]
+    found = presplit.split_points(quads(spark, rows), 300, 1)
+    want, at = {}, {}
+    for s, p, o in sorted(rows, key=lambda r: (r[1].n3(), r[0].n3())):
+        key = at.get(p, 0) // 300, p.n3()
+        want.setdefault(key, s.n3())
+        at[p] = at.get(p, 0) + sum(len(x.n3()) for x in (s, p, o))
+    assert {(r["part"], r["p"]): r["s"] for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "windowspecdefinition(block#" in plan and not re.search(r"windowspecdefinition\(p#\d+, s#", plan)
+
+
 @pytest.mark.parametrize("n,log", [(1, 0), (2, 1), (3, 1), (4, 2), (2**40, 40), (2**40 - 1, 39)])
 def test_log2(spark, n, log):
     assert spark.range(1).select(summary.log2(F.lit(n).cast("long"))).first()[0] == log
