@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import t_datatype, t_is
+from ..staging import stage
 from ..terms import QF, RDF, RDFS, XSD
+from .combine import shares
 
 
 def log2(n: Column) -> Column:
@@ -17,24 +19,32 @@ def log2(n: Column) -> Column:
 def summary(quads: DataFrame, decimate: int = 1, seed: int = 0) -> DataFrame:
     """(kind, predicate, domain, range, cardinality): kind is class (in `domain`), property, domain, range
     (a class or a literal's datatype) or slice (domain and range). One in `decimate` statements is read."""
-    every = quads.filter(F.col("g").isNull() | (F.col("g") != f"<{QF}statsContext>")).select("s", "p", "o").distinct()
+    deals = shares(quads)
+    every = quads.filter(F.col("g").isNull() | (F.col("g") != f"<{QF}statsContext>")).select("s", "p", "o")
+    every = stage(every.repartition(deals, "s", "p", "o").distinct(), "summary")
     seen = every if decimate <= 1 else every.sample(1 / decimate, seed)
-    types = every.filter((F.col("p") == f"<{RDF}type>") & t_is(F.col("o"), "<")).select(F.col("s").alias("x"), F.col("o").alias("cls"))
+    types = every.filter((F.col("p") == f"<{RDF}type>") & t_is(F.col("o"), "<"))
     facts = seen.filter((F.col("p") != f"<{RDF}type>") & ~F.startswith(F.col("p"), F.lit(f"<{QF}")))
-    facts = facts.withColumn("row", F.xxhash64("s", "p", "o"))
+    # a literal counts by its datatype; other objects are counted before their classes are looked up, so a hot one is one row
+    text = t_is(F.col("o"), '"')
+    facts = facts.select("s", "p", text.alias("text"), F.when(text, F.concat(F.lit("<"), t_datatype(F.col("o")), F.lit(">"))).otherwise(F.col("o")).alias("to"))
     null = F.lit(None).cast("string")
-    n = F.count(F.lit(1)).alias("n")
-    from_s = facts.join(types.select(F.col("x").alias("s"), F.col("cls").alias("domain")), "s")
-    datatype = facts.filter(t_is(F.col("o"), '"')).withColumn("range", F.concat(F.lit("<"), t_datatype(F.col("o")), F.lit(">")))
-    to_o = facts.join(types.select(F.col("x").alias("o"), F.col("cls").alias("range")), "o").select(*facts.columns, "range").unionByName(datatype)
-    both = to_o.join(types.select(F.col("x").alias("s"), F.col("cls").alias("domain")), "s")
-    classes = seen.filter((F.col("p") == f"<{RDF}type>") & t_is(F.col("o"), "<")).groupBy(F.col("o").alias("domain")).agg(n)
+    count, n = F.count(F.lit(1)).alias("n"), F.sum("n").alias("n")
+    domains = types.select("s", F.col("o").alias("domain")).repartition(deals, "s")
+    from_s = stage(facts.repartition(deals, "s").join(domains, "s").groupBy("p", "domain", "text", "to").agg(count), "summary")
+    direct = stage(facts.groupBy("p", "text", "to").agg(count), "summary")
+
+    def ranged(counted: DataFrame) -> DataFrame:
+        classes = types.select(F.col("s").alias("to"), F.col("o").alias("range"))
+        return counted.filter("text").withColumn("range", F.col("to")).unionByName(counted.filter(~F.col("text")).join(classes, "to"))
+
+    classes = seen.filter((F.col("p") == f"<{RDF}type>") & t_is(F.col("o"), "<")).groupBy(F.col("o").alias("domain")).agg(count)
     parts = [
         classes.select(F.lit("class").alias("kind"), null.alias("predicate"), "domain", null.alias("range"), "n"),
-        facts.groupBy("p").agg(n).select(F.lit("property").alias("kind"), F.col("p").alias("predicate"), null.alias("domain"), null.alias("range"), "n"),
+        direct.groupBy("p").agg(n).select(F.lit("property").alias("kind"), F.col("p").alias("predicate"), null.alias("domain"), null.alias("range"), "n"),
         from_s.groupBy("p", "domain").agg(n).select(F.lit("domain").alias("kind"), F.col("p").alias("predicate"), "domain", null.alias("range"), "n"),
-        to_o.groupBy("p", "range").agg(n).select(F.lit("range").alias("kind"), F.col("p").alias("predicate"), null.alias("domain"), "range", "n"),
-        both.groupBy("p", "domain", "range").agg(n).select(F.lit("slice").alias("kind"), F.col("p").alias("predicate"), "domain", "range", "n"),
+        ranged(direct).groupBy("p", "range").agg(n).select(F.lit("range").alias("kind"), F.col("p").alias("predicate"), null.alias("domain"), "range", "n"),
+        ranged(from_s).groupBy("p", "domain", "range").agg(n).select(F.lit("slice").alias("kind"), F.col("p").alias("predicate"), "domain", "range", "n"),
     ]
     out = parts[0]
     for x in parts[1:]:

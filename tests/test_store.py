@@ -324,6 +324,27 @@ def test_summary_against_plain_python(spark):
     assert summary.as_quads(found).filter("p = '<urn:quadframe:cardinality>'").count() == len(want)
 
 
+def _shuffles(df):
+    """Columns of the shuffles whose number of partitions Spark may lower, of the plan before it runs."""
+    plan = df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "ENSURE_REQUIREMENTS" in line]
+
+
+def test_summary_deals_statements_to_a_given_number_of_tasks(spark, monkeypatch):
+    """No aggregation or join of the statements themselves leaves its number of tasks open."""
+    staged = []
+    for name in ("stage",):
+        if hasattr(summary, name):
+            own = summary.stage
+            monkeypatch.setattr(summary, name, lambda df, n: staged.append(df) or own(df, n))
+    rows = [(IRI(f"urn:i{i}"), IRI("http://www.w3.org/1999/02/22-rdf-syntax-ns#type"), IRI("urn:c")) for i in range(50)]
+    rows += [(IRI(f"urn:i{i}"), P, IRI("urn:i0")) for i in range(50)]
+    found = summary.summary(quads(spark, rows))
+    assert {r["kind"]: r["cardinality"] for r in found.collect()} == {"class": 5, "property": 5, "domain": 5, "range": 5, "slice": 5}
+    bad = [line for df in [*staged, found] for line in _shuffles(df) if re.search(r"hashpartitioning\(s#\d+, p#|hashpartitioning\(s#", line)]
+    assert staged and not bad
+
+
 def test_split_points_of_one_predicate_in_many_blocks(spark):
     rows = [(IRI(f"urn:s{i:04}"), P, Literal("x" * (i % 17))) for i in range(400)] + [(IRI("urn:s0007"), IRI("urn:q"), Literal("y"))]
     found = presplit.split_points(quads(spark, rows), 300, 1)
