@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import t_is
 from ..plans.cardinality import Statistics
 from ..terms import QF, RDF, SD, VOID, VOID_EXT, XSD
+from .combine import pre_summed, shares
 
 CONTEXT, ROOT = QF + "statsContext", QF + "statsRoot"
 _MEASURES = {
@@ -18,14 +21,22 @@ _MEASURES = {
 _ROLES = {"s": "subject", "p": "property", "o": "object"}
 
 
+def _cells(quads: pa.Table) -> list[pa.Table]:
+    """Roles and values of the dataset and of each graph, each counted as 1."""
+    out = []
+    typed = quads.filter(pc.fill_null(pc.equal(quads["p"], f"<{RDF}type>"), False))
+    for t, column, role in ((quads, "s", "s"), (quads, "p", "p"), (quads, "o", "o"), (typed, "o", "c")):
+        own = t.filter(pc.is_valid(t["g"]))
+        for some, graph in ((t, pa.repeat(f"<{ROOT}>", len(t))), (own, own["g"])):
+            out.append(pa.table({"graph": graph, "role": pa.repeat(role, len(some)), "value": some[column], "n": pa.repeat(1, len(some))}))
+    return out
+
+
 def _per_value(quads: DataFrame) -> DataFrame:
     """One row per role and value of the dataset (graph = ROOT) and of each graph, with its quad count.
-    A first count per distinct term keeps hot predicates and objects from meeting unreduced."""
-    cells = F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("value")) for r in "spo"], F.when(F.col("p") == f"<{RDF}type>", F.struct(F.lit("c").alias("role"), F.col("o").alias("value"))))
-    flat = quads.select("g", F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("x")).select("g", "x.role", "x.value")
-    by_graph = flat.groupBy("g", "role", "value").agg(F.count(F.lit(1)).alias("n"))
-    root = by_graph.groupBy("role", "value").agg(F.sum("n").alias("n")).select(F.lit(f"<{ROOT}>").alias("graph"), "role", "value", "n")
-    return root.unionByName(by_graph.filter("g IS NOT NULL").select(F.col("g").alias("graph"), "role", "value", "n"))
+    Workers count some statements at a time first, which keeps hot predicates and objects from meeting unreduced."""
+    some = pre_summed(quads.select("g", "s", "p", "o"), "graph string, role string, value string, n long", _cells)
+    return some.repartition(shares(quads), "graph", "role", "value").groupBy("graph", "role", "value").agg(F.sum("n").alias("n"))
 
 
 def totals(quads: DataFrame) -> DataFrame:

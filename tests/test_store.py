@@ -345,6 +345,14 @@ def test_summary_deals_statements_to_a_given_number_of_tasks(spark, monkeypatch)
     assert staged and not bad
 
 
+def test_totals_deal_values_to_a_given_number_of_tasks(spark):
+    rows = [(IRI(f"urn:s{i % 40}"), P, Literal(f"v{i % 7}"), IRI(f"urn:g{i % 3}") if i % 3 else None) for i in range(200)]
+    found = stats.totals(quads(spark, rows))
+    got = {r["graph"]: (r["triples"], r["subjects"], r["properties"], r["objects"], r["iri_subjects"], r["literals"]) for r in found.collect()}
+    assert got[f"<{stats.ROOT}>"] == (200, 40, 1, 7, 40, 7) and len(got) == 3 and got["<urn:g1>"] == (67, 40, 1, 7, 40, 7)
+    assert not [line for line in _shuffles(found) if "value#" in line]
+
+
 def test_split_points_of_one_predicate_in_many_blocks(spark):
     rows = [(IRI(f"urn:s{i:04}"), P, Literal("x" * (i % 17))) for i in range(400)] + [(IRI("urn:s0007"), IRI("urn:q"), Literal("y"))]
     found = presplit.split_points(quads(spark, rows), 300, 1)
