@@ -345,6 +345,18 @@ def test_summary_deals_statements_to_a_given_number_of_tasks(spark, monkeypatch)
     assert staged and not bad
 
 
+def test_statistics_deal_values_to_a_given_number_of_tasks(spark):
+    rows = [(IRI(f"urn:s{i % 40}"), P, Literal(f"v{i % 7}"), IRI(f"urn:g{i % 3}") if i % 3 else None) for i in range(200)]
+    found = stats.partitions(quads(spark, rows), 20)
+    want = {}
+    for s, p, o, g in rows:
+        for role, v in (("subject", s), ("property", p), ("object", o)):
+            for graph in {f"<{stats.ROOT}>", g.n3() if g else f"<{stats.ROOT}>"}:
+                want[graph, role, v.n3()] = want.get((graph, role, v.n3()), 0) + 1
+    assert {(r["graph"], r["role"], r["value"]): r["n"] for r in found.collect()} == {k: n for k, n in want.items() if n >= 20}
+    assert not [line for line in _shuffles(found) if "value#" in line]
+
+
 def test_totals_deal_values_to_a_given_number_of_tasks(spark):
     rows = [(IRI(f"urn:s{i % 40}"), P, Literal(f"v{i % 7}"), IRI(f"urn:g{i % 3}") if i % 3 else None) for i in range(200)]
     found = stats.totals(quads(spark, rows))
